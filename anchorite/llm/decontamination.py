@@ -152,6 +152,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return own.mapInArrow(scan, OUT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The input's rows, all columns, whose texts hold no window of the benchmark."""
+    frames.ship(docs.sparkSession)
+    parts = [Patterns(x, window) for x in passes(benchmark, item_col, item_text)]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            clean = [~np.any([search(b, p)[1] > 0 for p in parts], axis=0) for b in blocks(x.column(text_col))]
+            if clean:
+                yield x.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark"))
 

@@ -230,5 +230,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return each.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, that stand for their component: those of its smallest doc_id, repeated rows once. Rows with a null id stay."""
+    gone = jaccard_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    # The anti-join has dealt rows by id, so this needs no further exchange.
+    return kept.dropDuplicates([id_col, text_col])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(frames.table(spark, sf_dir, "documents"))

@@ -155,5 +155,18 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     return own.withColumn("held_out", F.coalesce(frames.fold("doc_id", PARTS) == HELD, F.lit(False))).mapInArrow(score, OUT)
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, whose texts are predicted to be of quality."""
+    net, _, a, c = trained(frames.only(docs, id_col, text_col), labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            s = [learn.sigmoid(a * net.forward(features(b).astype(np.float64))[0] + c) for b in blocks(x.column(text_col))]
+            if s:
+                yield x.filter(pa.array(np.concatenate(s) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
