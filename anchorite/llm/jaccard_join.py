@@ -86,6 +86,11 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
+def least_size(percent: int) -> int:
+    """The size from which a set can link to another one: n / (n + 1) reaches the threshold."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
+
+
 def place(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(len(r)) - (np.cumsum(n) - n)[r]
 
@@ -100,7 +105,7 @@ def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> Dat
                 k, r, n = keys(b, words, classes)
                 first = np.concatenate(([0], np.cumsum(n)))
                 node = [int.from_bytes(hashlib.blake2b(k[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) if j > i else None for i, j in zip(first[:-1], first[1:], strict=True)]
-                p = np.where(n >= 6, prefix_size(n, percent), 0)
+                p = np.where(n >= least_size(percent), prefix_size(n, percent), 0)
                 inside = place(r, n) < p[r]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(k[inside].view(np.int64)))
                 yield frames.batch(ddl, x.column("doc_id").slice(b.lo, b.n), n, node, lists)
@@ -196,7 +201,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     reps = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # One document stands for a node: joined by both columns, so that a node of many copies is no hot key.
     r = reps.select(F.col("node").alias("rnode"), F.col("doc_id").alias("rep"))
-    post = own.where("n >= 6").join(r, (F.col("node") == F.col("rnode")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    post = own.where(F.col("n") >= least_size(percent)).join(r, (F.col("node") == F.col("rnode")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("node", 32)
     tokens = post.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.min_by("node", rank).alias("lead"), F.min_by("n", rank).alias("lead_n"))
     post = frames.stored(post.join(tokens.where("least <> most").drop("least", "most"), "token"), "post")
@@ -230,9 +235,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return each.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows, all columns, that stand for their component: those of its smallest doc_id, repeated rows once. Rows with a null id stay."""
-    gone = jaccard_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = jaccard_join(docs, id_col, text_col, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     # The anti-join has dealt rows by id, so this needs no further exchange.
     return kept.dropDuplicates([id_col, text_col])

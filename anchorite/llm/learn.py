@@ -61,17 +61,17 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids), "doc_id")
 
 
-def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of sigmoid(a f + b) fitted to labels by Newton steps; the identity without both classes."""
+def platt(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """a, b of sigmoid(a f + b) fitted to weighted labels by Newton steps; the identity without both classes."""
     if len(f) == 0 or y.min() == y.max():
         return 1.0, 0.0
-    n1, n0 = y.sum(), (1 - y).sum()
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     w = np.array([1.0, 0.0])
     x = np.stack([f, np.ones_like(f)], 1)
-    for _ in range(50):
+    for _ in range(60):
         p = sigmoid(x @ w)
-        g = x.T @ (p - t) + 1e-3 * (w - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-3])
-        w -= np.clip(np.linalg.solve(h, g), -2, 2)
+        g = x.T @ (weight * (p - t)) + 1e-3 * (w - [1.0, 0.0])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-3])
+        w -= np.clip(np.linalg.solve(h, g), -1, 1)
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)

@@ -3,8 +3,8 @@
 Positive-unlabelled learning with the non-negative risk estimator: with class
 prior p, the risk is p R_P(+) + max(0, R_U(-) - p R_P(-)). Positives are a
 bounded sample of labelled documents of quality 1 in the training folds,
-unlabelled text a bounded sample of all documents; the prior is estimated from
-the two samples' scores. Features are shape frequencies of whole texts.
+unlabelled text a bounded sample of all documents. The prior is estimated from the
+labels' shares, or from the two samples' scores where all labels are positive. Features are shape frequencies of whole texts.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400, s
     net = learn.Net(xp.shape[1], 12, seed)
     net.standardise(xu)
     opt, rng = learn.Adam(net.params, 0.01), np.random.default_rng(seed)
-    for _ in range(steps):
+    # Few rows are seen a few dozen times each, not hundreds.
+    for _ in range(min(steps, 60 + len(xu) // 8)):
         p, u = xp[rng.integers(0, len(xp), 512)], xu[rng.integers(0, len(xu), 1024)]
         f, h, z = net.forward(np.vstack([p, u]))
         fp, fu = f[: len(p)], f[len(p) :]
@@ -109,7 +110,7 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400, s
         # Where the negative part is below 0, its step is undone instead.
         d = d_plus + d_minus if negative >= 0 else -d_minus
         grads = net.backward(d, h, z)
-        grads[0] += 1e-3 * net.params[0]
+        grads[0] += 3e-3 * net.params[0]
         opt.step(grads)
     return net, prior
 
@@ -120,16 +121,21 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[learn.Net, float, float
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     positive = learn.rows_of(docs, learn.sample_ids(lab.where("quality = 1"), MAX_POSITIVE, 1)).withColumn("mark", F.lit(1))
     unlabelled = learn.rows_of(docs, learn.sample_ids(docs, MAX_UNLABELLED, 2)).withColumn("mark", F.lit(-1))
-    known = learn.sample_ids(lab.where("quality = 0"), MAX_CALIBRATION // 2, 3)
-    calibration = learn.rows_of(docs, known).withColumn("mark", F.lit(0))
+    rejected = learn.sample_ids(lab.where("quality = 0"), MAX_CALIBRATION // 2, 3)
+    calibration = learn.rows_of(docs, rejected).withColumn("mark", F.lit(0))
     x = sampled(positive.unionByName(unlabelled).unionByName(calibration))
     xp, xu, xn = (x[x[:, -1] == m, :-1] for m in (1, -1, 0))
     if not len(xp) or not len(xu):
         return learn.Net(WIDTH, 1, 0), 0.5, 0.0, 0.0
-    net, prior = fit(xp, xu, None)
-    fp, fn = net.forward(xp)[0], net.forward(xn)[0] if len(xn) else np.zeros(0)
-    fp = fp[: max(1, round(len(fn) * prior / (1 - prior)))] if len(fn) else fp
-    a, b = learn.platt(np.concatenate([fp, fn]), np.concatenate([np.ones(len(fp)), np.zeros(len(fn))]))
+    # A quarter of the positives is kept from the fit and calibrates its scores.
+    apart = np.arange(len(xp)) % 4 == 3
+    known = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
+    n1, n0 = known.get(1, 0), known.get(0, 0)
+    # Labelled rows of both kinds give the prior; positives alone leave it to the scores.
+    net, prior = fit(xp[~apart], xu, min(0.98, max(0.02, n1 / (n1 + n0))) if n0 else None)
+    fp, fn = net.forward(xp[apart])[0], net.forward(xn)[0] if len(xn) else np.zeros(0)
+    weight = np.concatenate([np.full(len(fp), prior / max(1, len(fp))), np.full(len(fn), (1 - prior) / max(1, len(fn)))]) * (len(fp) + len(fn))
+    a, b = learn.platt(np.concatenate([fp, fn]), np.concatenate([np.ones(len(fp)), np.zeros(len(fn))]), weight)
     return net, prior, a, b
 
 
