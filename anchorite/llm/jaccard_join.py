@@ -5,7 +5,8 @@ a token in their prefixes under any global order of tokens. The first order is
 by frequency class, then hash, so that prefixes hold rare tokens; the second and
 third are by independent hashes. Candidates come from the first order's
 prefixes, must also share prefix tokens under the other two, and only those that
-pass all filters are verified on their whole sets.
+pass all filters are verified on their whole sets. Before texts are fetched, sizes
+of the sets' parts by hash bound each candidate's overlap from above.
 
 Documents of equal sets are one node. Only what decides components is verified:
 each node is first held against the node that leads most of its tokens; then
@@ -33,6 +34,8 @@ SKETCH_BITS = 17
 ORDERS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25))
 #: Members of a token's group that one task compares with one another; larger groups are split into pairs of blocks.
 GROUP = 512
+#: Parts of the hash range whose set sizes bound an overlap from above.
+SIGNATURE = 128
 #: Nodes up to which their documents are found by broadcast instead of by shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -96,8 +99,8 @@ def place(r: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node (64-bit digest of the set, null without shingles) and prefix of each document."""
-    ddl = "doc_id long, n long, node long, prefix array<long>"
+    """doc_id, n, node (64-bit digest of the set, null without shingles), prefix and size signature of each document."""
+    ddl = "doc_id long, n long, node long, prefix array<long>, sig binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -108,7 +111,8 @@ def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> Dat
                 p = np.where(n >= least_size(percent), prefix_size(n, percent), 0)
                 inside = place(r, n) < p[r]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(k[inside].view(np.int64)))
-                yield frames.batch(ddl, x.column("doc_id").slice(b.lo, b.n), n, node, lists)
+                part = np.bincount(r * SIGNATURE + (k % U(SIGNATURE)).astype(np.int64), minlength=b.n * SIGNATURE).astype("<u4").reshape(b.n, SIGNATURE)
+                yield frames.batch(ddl, x.column("doc_id").slice(b.lo, b.n), n, node, lists, [v.tobytes() for v in part])
 
     return docs.mapInArrow(each, ddl)
 
@@ -121,6 +125,20 @@ def shared(ka, ra, kb, rb, n: int) -> np.ndarray:
     return per_row(r[1:][(k[1:] == k[:-1]) & (r[1:] == r[:-1])], n)
 
 
+def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose parts' sizes allow the overlap that a link needs; sigs: (node, n, sig)."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u4").reshape(-1, SIGNATURE) for c in ("sa", "sb"))
+            most = np.minimum(a, b).sum(1).astype(np.int64)
+            ok = pa.array((100 + percent) * most >= percent * (np.asarray(x.column("na")) + np.asarray(x.column("nb"))))
+            yield frames.batch("a long, b long", x.column("a").filter(ok), x.column("b").filter(ok))
+
+    both = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b): those that share prefix tokens under the other orders and whose sets are similar."""
     pairs = frames.stored(pairs, "pairs")
@@ -201,13 +219,15 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     reps = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # One document stands for a node: joined by both columns, so that a node of many copies is no hot key.
     r = reps.select(F.col("node").alias("rnode"), F.col("doc_id").alias("rep"))
-    post = own.where(F.col("n") >= least_size(percent)).join(r, (F.col("node") == F.col("rnode")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    one = own.where(F.col("n") >= least_size(percent)).join(r, (F.col("node") == F.col("rnode")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    sigs = frames.stored(one.select("node", "n", "sig").dropDuplicates(["node"]), "signatures")
+    post = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("node", 32)
     tokens = post.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.min_by("node", rank).alias("lead"), F.min_by("n", rank).alias("lead_n"))
     post = frames.stored(post.join(tokens.where("least <> most").drop("least", "most"), "token"), "post")
     near = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
     first = post.where((F.col("node") != F.col("lead")) & near).groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("lead", "k").alias("lead"))
-    found = verified(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), docs, reps, classes, words, percent)
+    found = verified(plausible(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), sigs, percent), docs, reps, classes, words, percent)
     comp = components(found)
     rest = post.join(comp.toDF("node", "c"), "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
     rest = frames.stored(rest, "rest")
@@ -215,7 +235,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     rows = rest.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own")
     second = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct()
-    more = verified(second, docs, reps, classes, words, percent)
+    more = verified(plausible(second, sigs, percent), docs, reps, classes, words, percent)
     return own.select("doc_id", "n", "node"), components(found.union(more))
 
 
