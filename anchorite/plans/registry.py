@@ -1,11 +1,38 @@
-"""All queries of the entity-linking engine, by operator id."""
+"""All queries of the entity-linking engine, by operator id, with their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import model, queries_sql
 
-def oracles() -> dict:
-    return {}
+INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, query: str | tuple[str, str]) -> DataFrame:
+    """A query over the tables of a folder; only those that it names are opened."""
+    text = model.sql(query, spark=True)
+    for name in INPUTS:
+        if f" {name}" in text:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def _query(text: str | tuple[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, text)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _query(text) for name, text in queries_sql.QUERIES.items()}
+
+
+def oracles() -> dict[str, str]:
+    out = {}
+    for name, text in queries_sql.QUERIES.items():
+        q = model.sql(text, spark=False)
+        for a, b in queries_sql.ORACLE_WORDS.items():
+            q = q.replace(a, b)
+        out[name] = q
+    return out
