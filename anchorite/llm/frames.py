@@ -41,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,0 +1,294 @@
+"""Each operator on edge cases (nulls, empty, repeated rows, empty tables, clashing columns) and against brute force."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+pytest.importorskip("anchorite.llm")
+from anchorite.llm import decontamination, jaccard_join, language, packing, pii, quality_classifier, quality_rules, sharding, token_files, toxicity  # noqa: E402
+from anchorite.llm.textvec import blocks  # noqa: E402
+from anchorite.llm.tokens import Encoder  # noqa: E402
+
+COLUMNS = "doc_id long, text string, lang string, source string, node long, uid string, token string"
+RNG = random.Random(4)
+WORDS = ["alpha", "beta", "Gamma", "delta.", "epsilon", "zeta", "über", "été", "日本", "x1"]
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+LONG = prose(9000)
+BASE = prose(120)
+TEXTS = [None, "", " \n\t", "one", BASE, BASE, BASE + " extra", BASE.replace("beta", "beta beta", 1), LONG, prose(3), "a b c d", "A B C D", *(prose(RNG.randrange(5, 60)) for _ in range(30)), "mail Me@Ex.org now", "an idiot and a moron"]
+ROWS = [(i, t, "en" if i % 2 else "fr", "s", 1, "u", "t") for i, t in enumerate(TEXTS)]
+ROWS += [(4, BASE, "en", "s", 1, "u", "t"), (None, "text without id here", None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, " ".join(LONG.split()[40:60])), (2, "A, b! C"), (3, None), (4, ""), (5, " ".join(BASE.split()[:10]))], "item_id long, text string")
+
+
+def test_token_files(docs, empty):
+    rows = token_files.token_files(docs).collect()
+    assert len(rows) == len(ROWS) and token_files.token_files(empty).count() == 0
+    tk = Encoder.of(token_files.TOKENIZER).tokenizer
+    want = collections.Counter((r[0], zlib.crc32(np.array([*tk.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in ROWS)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in rows) == want
+    by = sorted(rows, key=lambda r: r.start)
+    assert [r.start for r in by] == list(np.cumsum([0] + [r.n_tokens for r in by])[:-1])
+    assert [r.doc_id for r in by if r.doc_id is not None] == sorted(r[0] for r in ROWS if r[0] is not None)
+
+
+def test_blocks_round_trip_and_checksum():
+    rng = np.random.default_rng(1)
+    groups = [(rng.integers(0, 49408, n), 7, [(5, 0, 0, n)]) for n in (300, 1, 90)]
+    data = token_files.write_blocks(groups)
+    for (ids, _, _), (back, at, table) in zip(groups, token_files.read_blocks(data), strict=True):
+        assert np.array_equal(ids, back) and at == 7 and table[0][:1] == (5,)
+    broken = bytearray(data[0])
+    broken[-20] ^= 1
+    with pytest.raises(ValueError):
+        token_files.read_blocks([bytes(broken)])
+
+
+def test_encoder_equals_library():
+    alpha = list("abAB  \n\n'.,12éß  ́İσ日😀\t\x1c\x85|-_µ")
+    texts = ["".join(RNG.choice(alpha) for _ in range(RNG.randrange(0, 50))) for _ in range(1500)]
+    for name in (packing.TOKENIZER, token_files.TOKENIZER):
+        e = Encoder(name)
+        got = [ids[off[i] : off[i + 1]].tolist() for b in blocks(pa.array(texts)) for ids, off in [e.encode(b)] for i in range(b.n)]
+        assert got == [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_language(spark, docs, empty):
+    fr, de = ["été", "çela", "où", "être"], ["über", "größe", "schön", "weiß"]
+    rows = [(i, " ".join(RNG.choice(fr if i % 2 else de) for _ in range(30)), "fr" if i % 2 else "de") for i in range(120)]
+    out = {r.doc_id: r for r in language.identify(spark.createDataFrame([*rows, (900, "12 34", "fr"), (901, None, "fr")], "doc_id long, text string, lang string")).collect()}
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[900].lang_pred == out[901].lang_pred == "und"
+    held = [(out[i].lang_pred == lang) for i, _, lang in rows if out[i].held_out]
+    assert np.mean(held) > 0.95
+    assert language.identify(docs).count() == len(ROWS) and language.identify(empty).count() == 0
+
+
+def test_network_gradients():
+    net = language.Network(["a", "b"])
+    x, y = np.random.default_rng(0).integers(60, 130, (9, 6)).astype(np.uint8), np.arange(6) % 2
+
+    class Probe:
+        def step(self, g):
+            self.g = g
+
+    p = Probe()
+    net.loss_step(p, x, y)
+    grads = [g.copy() for g in p.g]
+    scale = 1 / max(1.0, np.sqrt(sum((g * g).sum() for g in grads)))
+    for value, g in zip([*net.f.values(), *net.b.values(), net.v, net.o], grads, strict=True):
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        value[at] += 1e-5
+        up = net.loss_step(p, x, y)
+        value[at] -= 2e-5
+        down = net.loss_step(p, x, y)
+        value[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(g[at] * max(1.0, 1 / scale if scale < 1 else 1.0), rel=1e-3)
+
+
+def test_surrogates(spark, docs, empty):
+    texts = ["Write Ann.Lee@Mail.org or +1 (017) 555-7713, card 4068516892505468.", "ANN.LEE@MAIL.ORG has 4068-5168-9250-5468 at 97.51.17.173", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" Mrs. Anna Schmidt and Mr. Karl Schmidt', None, "", "clean 3.0 text"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert out[3:] == texts[3:]
+    for secret in ("Ann.Lee", "555-7713", "4068516892505468", "97.51", "b44e15", "Anna Schmidt", "Karl Schmidt"):
+        assert all(secret.lower() not in (t or "").lower() for t in out)
+    mail = re.search(r"\S+@\S+", out[0])[0]
+    assert mail.upper() in out[1] and re.search(r"\d{16}", out[0])[0] == re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", out[1])[0].replace("-", "")
+    assert re.search(r"Mrs\. [A-Z]\w+ [A-Z]\w+ and Mr\. [A-Z]\w+ [A-Z]", out[2])
+    many = [(i, f"u{i}@a.io {10**15 + i} 10.0.{i % 250}.{i // 250}") for i in range(600)]
+    got = [r.text.split() for r in pii.pseudonymise(spark.createDataFrame(many, "doc_id long, text string")).collect()]
+    assert all(len({g[k] for g in got}) == 600 for k in range(3))
+    full = pii.pseudonymise(docs)
+    assert full.count() == len(ROWS) and full.columns[: len(docs.columns)] == docs.columns and pii.pseudonymise(empty).count() == 0
+
+
+def test_toxicity(spark, docs, labels, empty):
+    rows = [(i, prose(30) + (" you moron worthless clown " if i % 4 == 0 else " ") + prose(10), int(i % 4 == 0)) for i in range(300)]
+    extra = [(1000, prose(20) + " you mor0n wrthless clown " + prose(5), 1), (1001, None, 0), (1002, "", 0)]
+    d = spark.createDataFrame([r[:2] for r in rows + extra], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
+    assert all(out[i].predicted == y for i, _, y in rows if out[i].held_out)
+    assert out[1000].predicted == 1 and out[1000].n_fuzzy >= 2 and out[1001].predicted == 0
+    assert toxicity.toxicity(docs, labels).count() == len(ROWS) and toxicity.toxicity(empty, labels.limit(0)).count() == 0
+
+
+def test_automaton_equals_edit_distance():
+    terms = ["moron", "scum", "worth"]
+    a = toxicity.Automaton(terms)
+
+    def near(w, t):  # distance with swaps of neighbours, at most 1
+        if w == t:
+            return 0
+        if abs(len(w) - len(t)) > 1:
+            return 9
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+        edits |= {w[:i] + c + w[j:] for i in range(len(w) + 1) for j in (i, min(i + 1, len(w))) for c in "abcdefghijklmnopqrstuvwxyz"}
+        return 1 if t in edits else 9
+
+    words = terms + ["".join(RNG.choice("morncsuwth") for _ in range(RNG.randrange(3, 8))) for _ in range(300)] + ["mroon", "mooron", "morn", "moran", "scun", "wroth"]
+    b = next(blocks(pa.array([" ".join(words)])))
+    cp, s, e, *_ = toxicity.words(b)
+    term, edits = a.run(cp, s, e)
+    for w, t, k in zip(words, term, edits, strict=True):
+        ok = [(near(w, x), i) for i, x in enumerate(terms) if near(w, x) <= (1 if len(x) >= 5 else 0)]
+        assert (t >= 0) == bool(ok) and (not ok or k == min(ok)[0]), w
+
+
+def counts(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    g = collections.Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    cover = {j for i in range(len(ws) - 4) if g[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
+
+
+def test_quality_rules(spark, docs, labels, empty):
+    alpha = ["a", "bé", "#", "\n", "\n", " ", "c|d", "x", "\t"]
+    extra = [(100 + i, "".join(RNG.choice(alpha) + RNG.choice(["", " "]) for _ in range(RNG.randrange(0, 90))), "en", "s", 1, "u", "t") for i in range(60)]
+    rows = ROWS + extra
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, COLUMNS), labels).collect()
+    want = collections.Counter((r[0], *counts(r[1] or "")) for r in rows)
+    assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out) == want
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in out)
+    assert all(r.kept == (not r.base_failed and r.log_ratio >= quality_rules.THRESHOLD) for r in out)
+    assert quality_rules.quality_rules(empty, labels).count() == 0
+
+
+def components(rows, words, percent):
+    sets = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    head = list(range(len(rows)))
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                head[top(i)] = top(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[top(i)] = min(least.get(top(i), r[0]), r[0])
+    return collections.Counter((r[0], len(sets[i]), least.get(top(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+
+
+def test_jaccard_join(spark, docs, empty):
+    assert collections.Counter(map(tuple, jaccard_join.jaccard_join(docs).collect())) == components(ROWS, 4, 85)
+    assert jaccard_join.jaccard_join(empty).count() == 0
+    near = []
+    for k in range(6):
+        words = [f"w{RNG.randrange(500)}" for _ in range(80)]
+        for c in range(12):
+            w = list(words)
+            for _ in range(RNG.randrange(0, 4)):
+                w[RNG.randrange(len(w))] = f"v{RNG.randrange(500)}"
+            near.append((100 * k + c, " ".join(w)))
+    d = spark.createDataFrame(near, "doc_id long, text string")
+    for words, percent in ((4, 85), (5, 80)):
+        assert collections.Counter(map(tuple, jaccard_join.jaccard_join(d, words=words, percent=percent).collect())) == components(near, words, percent)
+
+
+def test_quality_classifier(spark, docs, labels, empty):
+    rows = [(i, prose(60) if i % 4 else " ".join(w + "%%%" for w in prose(60).split()), int(i % 4 > 0)) for i in range(400)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_classifier.quality_classifier(d, lab).collect()}
+    assert np.mean([out[i].predicted == y for i, _, y in rows if out[i].held_out]) > 0.95
+    assert quality_classifier.keep_quality(d, lab).count() == sum(r.predicted for r in out.values())
+    assert quality_classifier.quality_classifier(docs, labels).count() == len(ROWS) and quality_classifier.quality_classifier(empty, labels).count() == 0
+
+
+def test_decontamination(docs, benchmark, empty):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = {str(r[0]): split(r[1]) for r in benchmark.collect()}
+    want = collections.Counter()
+    for r in ROWS:
+        w, hit, found = split(r[1]), set(), set()
+        for k, v in items.items():
+            m = min(10, len(v))
+            for i in range(len(w) - m + 1) if m else ():
+                if any(w[i : i + m] == v[j : j + m] for j in range(len(v) - m + 1)):
+                    hit.update(range(i, i + m))
+                    found.add(k)
+        want[r[0], len(w), len(hit), len(found)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontamination.decontaminate(docs, benchmark).collect()) == want
+    assert decontamination.decontaminate(empty, benchmark).count() == 0
+    assert decontamination.decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
+
+
+def test_packing(docs, empty):
+    rows = packing.best_fit_packing(docs, capacity=64).collect()
+    tk = Encoder.of(packing.TOKENIZER).tokenizer
+    assert sum(r.length for r in rows) == sum(len(tk.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ROWS)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for s in by.values():
+        s.sort()
+        assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s])[:-1]) and sum(n for _, n in s) <= 64
+    assert packing.best_fit_packing(empty).count() == 0
+
+
+def test_bounds_hold_and_are_reached():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x = rng.integers(1, 100, 60)
+        _, _, room = packing.best_fit(x, 100)
+        assert packing.lower_bound(x, 100) <= len(room) <= packing.lower_bound(x, 100) + 2
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shuffle_shards(docs, shards=7).collect()
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == collections.Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sharding.shuffle_shards(empty).count() == 0
+    m = sharding.matrix([10, 0, 25], 4, 1)
+    assert [sum(r) for r in m] == [10, 0, 25] and sorted(sum(c) for c in zip(*m)) == [8, 9, 9, 9]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 50 and out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
