@@ -36,6 +36,10 @@ ORDERS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25))
 GROUP = 512
 #: Parts of the hash range whose set sizes bound an overlap from above.
 SIGNATURE = 128
+#: Size from which a part is held as unbounded.
+FULL = 65535
+#: Pairs whose signatures are compared at a time.
+COMPARED = 8192
 #: Nodes up to which their documents are found by broadcast instead of by shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -111,7 +115,7 @@ def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> Dat
                 p = np.where(n >= least_size(percent), prefix_size(n, percent), 0)
                 inside = place(r, n) < p[r]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(k[inside].view(np.int64)))
-                part = np.bincount(r * SIGNATURE + (k % U(SIGNATURE)).astype(np.int64), minlength=b.n * SIGNATURE).astype("<u4").reshape(b.n, SIGNATURE)
+                part = np.minimum(np.bincount(r * SIGNATURE + (k % U(SIGNATURE)).astype(np.int64), minlength=b.n * SIGNATURE), FULL).astype("<u2").reshape(b.n, SIGNATURE)
                 yield frames.batch(ddl, x.column("doc_id").slice(b.lo, b.n), n, node, lists, [v.tobytes() for v in part])
 
     return docs.mapInArrow(each, ddl)
@@ -125,13 +129,22 @@ def shared(ka, ra, kb, rb, n: int) -> np.ndarray:
     return per_row(r[1:][(k[1:] == k[:-1]) & (r[1:] == r[:-1])], n)
 
 
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of each row's two sets, from the sizes of their parts."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(1), 1 << 40, least.sum(1, dtype=np.int64))
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIGNATURE)
+
+
 def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs whose parts' sizes allow the overlap that a link needs; sigs: (node, n, sig)."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u4").reshape(-1, SIGNATURE) for c in ("sa", "sb"))
-            most = np.minimum(a, b).sum(1).astype(np.int64)
+            most = most_shared(signatures(x.column("sa")), signatures(x.column("sb")))
             ok = pa.array((100 + percent) * most >= percent * (np.asarray(x.column("na")) + np.asarray(x.column("nb"))))
             yield frames.batch("a long, b long", x.column("a").filter(ok), x.column("b").filter(ok))
 
@@ -178,7 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, classes: np.nda
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components within each (token, block pair) of sorted rows."""
+    """Candidate pairs of different components within each (token, block pair) of sorted rows, of sizes and part sizes that allow a link."""
 
     def pairs(g: dict[str, np.ndarray]):
         i, j = np.triu_indices(len(g["node"]), 1)
@@ -189,13 +202,16 @@ def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         # Overlap after the first common token is bounded by what follows it.
         most = np.minimum(n - g["pos"][i], m - g["pos"][j])
         ok &= (100 + percent) * most >= percent * (n + m)
+        i, j = i[ok], j[ok]
+        fits = [most_shared(g["sig"][i[k : k + COMPARED]], g["sig"][j[k : k + COMPARED]]) for k in range(0, len(i), COMPARED)]
+        ok = (100 + percent) * np.concatenate([np.zeros(0, np.int64), *fits]) >= percent * (g["n"][i] + g["n"][j])
         a, b = g["node"][i[ok]], g["node"][j[ok]]
         return np.minimum(a, b), np.maximum(a, b)
 
     held: dict[str, np.ndarray] | None = None
     names = ("token", "bi", "bj", "node", "comp", "n", "pos", "own")
     for x in batches:
-        now = {k: np.asarray(x.column(k)) for k in names}
+        now = {k: np.asarray(x.column(k)) for k in names} | {"sig": signatures(x.column("sig"))}
         now = {k: np.concatenate((held[k], now[k])) for k in names} if held else now
         new = np.flatnonzero((now["token"][1:] != now["token"][:-1]) | (now["bi"][1:] != now["bi"][:-1]) | (now["bj"][1:] != now["bj"][:-1])) + 1
         edges = [0, *new.tolist()]
@@ -232,10 +248,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     rest = post.join(comp.toDF("node", "c"), "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
     rest = frames.stored(rest, "rest")
     mixed = rest.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", F.ceil(F.col("size") / GROUP).alias("parts"))
-    rows = rest.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own")
+    # Signatures travel with the rows of mixed tokens, not with the pairs, which grow with the square of a token's group.
+    rows = rest.join(mixed, "token").join(sigs.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own", "sig")
     second = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct()
-    more = verified(plausible(second, sigs, percent), docs, reps, classes, words, percent)
+    more = verified(second, docs, reps, classes, words, percent)
     return own.select("doc_id", "n", "node"), components(found.union(more))
 
 
