@@ -212,7 +212,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     names = ("token", "bi", "bj", "node", "comp", "n", "pos", "own")
     for x in batches:
         now = {k: np.asarray(x.column(k)) for k in names} | {"sig": signatures(x.column("sig"))}
-        now = {k: np.concatenate((held[k], now[k])) for k in names} if held else now
+        now = {k: np.concatenate((held[k], v)) for k, v in now.items()} if held else now
         new = np.flatnonzero((now["token"][1:] != now["token"][:-1]) | (now["bi"][1:] != now["bi"][:-1]) | (now["bj"][1:] != now["bj"][:-1])) + 1
         edges = [0, *new.tolist()]
         out = [pairs({k: v[s:e] for k, v in now.items()}) for s, e in zip(edges[:-1], edges[1:], strict=True)]

@@ -292,3 +292,17 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_block_pairs_across_batches():
+    rng = np.random.default_rng(5)
+    part = rng.integers(0, 9, (40, jaccard_join.SIGNATURE)).astype("<u2")
+    part[20:] = part[:20]
+    n = part.sum(1).astype(np.int64)
+    rows = sorted((t, 0, 0, v, v, int(n[v]), 0, 0, part[v].tobytes()) for t in range(3) for v in range(40))
+    names = ["token", "bi", "bj", "node", "comp", "n", "pos", "own", "sig"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+    want = {(v, v + 20) for v in range(20)}
+    for step in (7, 40, 120):
+        out = [x.to_pydict() for x in jaccard_join.block_pairs(iter([batch.slice(k, step) for k in range(0, 120, step)]), 85)]
+        assert {p for x in out for p in zip(x["a"], x["b"])} == want
