@@ -38,6 +38,8 @@ GROUP = 512
 SIGNATURE = 128
 #: Size from which a part is held as unbounded.
 FULL = 65535
+#: Pairs that a task holds, each once, before it hands them on.
+HELD_PAIRS = 1_000_000
 #: Pairs whose signatures are compared at a time.
 COMPARED = 8192
 #: Nodes up to which their documents are found by broadcast instead of by shuffle.
@@ -63,7 +65,12 @@ def shingles(b: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Frequency class of each bucket of shingles: 0 up to the mean count, then one more for each doubling. Bounded by the number of buckets."""
+    """Frequency class of each bucket of shingles. Bounded by the number of buckets.
+
+    0 up to twice the usual spread of counts above their median, then one more for each doubling of the excess. A
+    bucket's count is the sum of many rare shingles, so its spread grows with the root of the corpus alone, and a
+    passage whose share of documents stays the same stands out more, not less, as the corpus grows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -77,7 +84,9 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << SKETCH_BITS)
     total[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
-    return np.clip(np.log2(np.maximum(total / max(total.mean(), 1), 1)), 0, 31).astype(np.uint64)
+    usual = np.median(total)
+    spread = max(1.0, 1.4826 * float(np.median(np.abs(total - usual))))
+    return np.clip(np.log2(np.maximum((total - usual) / spread, 1)), 0, 31).astype(np.uint64)
 
 
 def keys(b: Block, words: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +218,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         return np.minimum(a, b), np.maximum(a, b)
 
     held: dict[str, np.ndarray] | None = None
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     names = ("token", "bi", "bj", "node", "comp", "n", "pos", "own")
     for x in batches:
         now = {k: np.asarray(x.column(k)) for k in names} | {"sig": signatures(x.column("sig"))}
@@ -217,15 +227,23 @@ def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         edges = [0, *new.tolist()]
         out = [pairs({k: v[s:e] for k, v in now.items()}) for s, e in zip(edges[:-1], edges[1:], strict=True)]
         held = {k: v[edges[-1] :] for k, v in now.items()}
-        if out:
-            yield distinct_pairs(out)
+        found += out
+        if sum(len(a) for a, _ in found) > HELD_PAIRS:
+            found = [distinct_pairs(found)]
+            if len(found[0][0]) > HELD_PAIRS // 2:
+                yield frames.batch("a long, b long", *found.pop())
     if held:
-        yield distinct_pairs([pairs(held)])
+        found.append(pairs(held))
+    if found:
+        yield frames.batch("a long, b long", *distinct_pairs(found))
 
 
-def distinct_pairs(out: list) -> pa.RecordBatch:
-    ab = np.unique(np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])]), axis=1)
-    return frames.batch("a long, b long", ab[0], ab[1])
+def distinct_pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new]
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -247,11 +265,12 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     comp = components(found)
     rest = post.join(comp.toDF("node", "c"), "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
     rest = frames.stored(rest, "rest")
-    mixed = rest.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", F.ceil(F.col("size") / GROUP).alias("parts"))
+    mixed = rest.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first", F.ceil(F.col("size") / GROUP).alias("parts"))
     # Signatures travel with the rows of mixed tokens, not with the pairs, which grow with the square of a token's group.
     rows = rest.join(mixed, "token").join(sigs.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own", "sig")
-    second = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct()
+    rows = rows.select("first", "token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own", "sig")
+    # Tokens of the same passage mostly have the same first node: together, they give a pair once.
+    second = rows.repartition("first", "bi", "bj").sortWithinPartitions("first", "bi", "bj", "token").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct()
     more = verified(second, docs, reps, classes, words, percent)
     return own.select("doc_id", "n", "node"), components(found.union(more))
 
