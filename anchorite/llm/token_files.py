@@ -40,7 +40,7 @@ PART = "file int, doc long, doc_id long, start long, part long, n long, crc long
 _TOTAL, _RATE, _SLOTS = 15, 4, 11
 _NODES = 1 + 16 + 256 + 4096
 _BASE = (0, 1, 17, 273)
-_TARGET = np.array([[k + 1 if k < s else (1 << _TOTAL) - (15 - k) for k in range(16)] for s in range(16)], np.int32)
+_TARGET = np.array([[k + 1 if k < s else (1 << _TOTAL) - (15 - k) for k in range(16)] for s in range(16)], np.uint16)
 _M32 = np.uint64(0xFFFFFFFF)
 
 
@@ -65,17 +65,19 @@ class Mixer:
 
     def mixed(self, at: list[np.ndarray], j: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Cumulative mixture (lanes by 16, of total 2**15) and the parts; it rises by 1 at least at each symbol."""
-        w = self.weights[j, :, : len(at[0])]
-        parts = [t[i].astype(np.int64) for t, i in zip(self.tables, at, strict=True)]
-        total = parts[0] * w[0][:, None]
-        total += parts[1] * w[1][:, None]
-        total += parts[2] * w[2][:, None]
-        return total >> 16, parts
+        w = self.weights[j, :, : len(at[0])].astype(np.uint32)
+        parts = [t.take(i, axis=0) for t, i in zip(self.tables, at, strict=True)]
+        # Parts are below 2**15 + 1 and the weights of a lane sum to 2**16: the sum fits 32 bits.
+        total = np.multiply(parts[0], w[0][:, None], dtype=np.uint32)
+        total += np.multiply(parts[1], w[1][:, None], dtype=np.uint32)
+        total += np.multiply(parts[2], w[2][:, None], dtype=np.uint32)
+        total >>= 16
+        return total, parts
 
     def update(self, at: list[np.ndarray], parts: list[np.ndarray], j: int, symbol: np.ndarray) -> None:
         n, rows = len(symbol), np.arange(len(symbol))
         w = self.weights[j, :, :n]
-        seen = np.stack([p[rows, symbol] - np.where(symbol > 0, p[rows, symbol - 1], 0) for p in parts])
+        seen = np.stack([p[rows, symbol].astype(np.int64) - np.where(symbol > 0, p[rows, symbol - 1], 0) for p in parts])
         credit = w * seen
         credit = (credit << 16) // credit.sum(0)
         w += (credit - w) >> 4
@@ -84,8 +86,8 @@ class Mixer:
         w[0] = 65536 - w[1] - w[2]
         target = _TARGET[symbol]
         for t, i, p in zip(self.tables, at, parts, strict=True):
-            p = p.astype(np.int32)
-            p += (target - p) >> _RATE
+            # A difference lies within 16 signed bits.
+            p += ((target - p).view(np.int16) >> _RATE).view(np.uint16)
             t[i] = p
 
     def next_id(self, ids: np.ndarray) -> None:
@@ -113,7 +115,7 @@ def encode_lanes(lanes: list[np.ndarray]) -> list[bytes]:
             symbol = (ids >> (12 - 4 * j)) & 15
             at = mixer.context(lane, j, node)
             cum, parts = mixer.mixed(at, j)
-            start = np.where(symbol > 0, cum[lane, symbol - 1], 0)
+            start = np.where(symbol > 0, cum[lane, symbol - 1], np.uint32(0))
             mixer_freq = cum[lane, symbol] - start
             mixer.update(at, parts, j, symbol)
             lo, sp = low[:live], span[:live]
@@ -163,9 +165,9 @@ def decode_lanes(codes: list[bytes], size: np.ndarray) -> list[np.ndarray]:
             cum, parts = mixer.mixed(at, j)
             lo, sp, cd = low[:live], span[:live], code[:live]
             sp >>= np.uint64(_TOTAL)
-            value = np.minimum(((cd - lo) & _M32) // sp, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
-            symbol = (cum <= value[:, None]).sum(1)
-            start = np.where(symbol > 0, cum[lane, symbol - 1], 0)
+            value = np.minimum(((cd - lo) & _M32) // sp, np.uint64((1 << _TOTAL) - 1)).astype(np.uint32)
+            symbol = (cum <= value[:, None]).view(np.uint8).sum(1, dtype=np.int64)
+            start = np.where(symbol > 0, cum[lane, symbol - 1], np.uint32(0))
             freq = cum[lane, symbol] - start
             mixer.update(at, parts, j, symbol)
             lo += start.astype(np.uint64) * sp
