@@ -44,7 +44,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "F26_text_keys": "SELECT doc_id, md5(text) AS key FROM documents",
     "F27_span_overlaps": "SELECT a.doc_id, a.pos AS pos1, b.pos AS pos2 FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 2 WHERE a.ambiguity > 1 AND b.ambiguity > 1",
     "F30_softmax": "SELECT surface, title, round(exp(p_title) / sum(exp(p_title)) OVER (PARTITION BY surface), 9) AS share FROM surface_candidates",
-    "F31_entropy": "SELECT surface, round(-sum(p_title * ln(p_title)), 6) AS entropy, round(-sum(p_title * ln(p_title)) / max(p_title), 6) AS confusion FROM surface_candidates GROUP BY surface",
+    "F31_entropy": "SELECT surface, round(abs(sum(p_title * ln(p_title))), 6) AS entropy, round(abs(sum(p_title * ln(p_title))) / max(p_title), 6) AS confusion FROM surface_candidates GROUP BY surface",
     "F32_tfidf": "SELECT doc_id, token, round(w, 6) AS w FROM doc_vectors",
     "F33_reweighted": "SELECT surface, title, round(n * ln(CAST(sum(m) OVER (PARTITION BY surface) AS DOUBLE) / n), 6) AS w FROM (SELECT surface, title, n, max(n) OVER (PARTITION BY surface, title) AS m FROM pair_counts) x",
     "F34_top_words": "SELECT title, token, tf FROM (SELECT title, token, tf, row_number() OVER (PARTITION BY title ORDER BY tf DESC, token) AS r FROM source_counts) x WHERE r <= 20",
