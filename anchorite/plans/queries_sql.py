@@ -54,7 +54,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "C5_coherence": "SELECT l.l_orderkey AS doc, p.l_partkey AS title, count(*) AS n_context, round(sum(coalesce(s.in_pmi, 0.0)) / count(*), 6) AS avg_in_pmi, round(greatest(max(coalesce(s.in_ngd, 0.0)), 0.0), 6) AS max_in_ngd, round(sum(CASE WHEN s.two_way THEN s.out_pmi ELSE 0.0 END) / count(*), 6) AS avg_two_way FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) p JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = p.l_orderkey AND l.l_partkey <> p.l_partkey LEFT JOIN pairwise_sim s ON s.a = least(l.l_partkey, p.l_partkey) AND s.b = greatest(l.l_partkey, p.l_partkey) GROUP BY l.l_orderkey, p.l_partkey",
     # Ranking and linking.
     "R1_scaling": "SELECT max(abs(l_quantity)) AS quantity, max(abs(l_extendedprice)) AS price, max(abs(l_discount)) AS discount, max(abs(l_tax)) AS tax FROM lineitem",
-    "R2_linear_scores": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.5 * l_quantity / 50 - 0.2 * l_discount + 0.1 * l_tax, 6) AS score FROM lineitem",
+    "R2_linear_scores": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.5 * l_quantity / 50 - 0.2 * l_discount + 0.1 * l_tax, 6) + 0e0 AS score FROM lineitem",
     "R4_ranked": "SELECT doc_id, pos, title, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, rank) AS BIGINT) AS place FROM (SELECT doc_id, pos, title, rank, round(2.0 * p_title + 0.5 * p_surface - 0.01 * rank, 6) AS score FROM candidates) c",
     "R6_margins": "SELECT doc_id, pos, title, score, round(score - coalesce(second, 0.0), 6) AS margin, round(CASE WHEN second IS NULL THEN 1.0 ELSE score / nullif(score + second, 0) END, 6) AS ratio FROM (SELECT doc_id, pos, title, rank, round(p_title, 6) AS score, lead(round(p_title, 6)) OVER (PARTITION BY doc_id, pos ORDER BY rank) AS second FROM candidates) x WHERE rank = 1",
     "R7_surface_properties": "SELECT surface, ambiguity, round(linkability, 9) AS linkability, round(CASE WHEN total_count > 10 THEN linkability ELSE 0.0 END, 9) AS over10, round(CASE WHEN total_count > 50 THEN linkability ELSE 0.0 END, 9) AS over50, round(CASE WHEN total_count > 100 THEN linkability ELSE 0.0 END, 9) AS over100, ambiguity = 1 AS unambiguous FROM surface_forms",
