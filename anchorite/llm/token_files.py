@@ -31,7 +31,7 @@ from .textvec import blocks
 from .tokens import Encoder
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-BLOCK_IDS, LANES = 4096, 384
+BLOCK_IDS, LANES = 4096, 768
 MAGIC = b"AMX1"
 HEAD, DOC = struct.Struct("<4sIIIQI"), struct.Struct("<BqQQI")
 BLOCK = "file int, block int, data binary"
