@@ -16,6 +16,7 @@ ids here u32; then the code.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -275,26 +276,34 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     return frames.stored(own.select("doc_id", "text").mapInArrow(each, BLOCK), "token-files")
 
 
+def _times(m: list[int], v: int) -> int:
+    s, i = 0, 0
+    while v:
+        if v & 1:
+            s ^= m[i]
+        v >>= 1
+        i += 1
+    return s
+
+
+@functools.cache
+def _zeros(k: int) -> list[int]:
+    """What 2**k zero bytes make of each bit of a crc."""
+    if k < 0:
+        bit = [0xEDB88320, *(1 << i for i in range(31))]
+        power = [_times(bit, x) for x in bit]
+        return [_times(power, x) for x in power]
+    m = _zeros(k - 1)
+    return [_times(m, x) for x in m]
+
+
 def crc_join(a: int, b: int, n: int) -> int:
     """crc32 of two byte strings joined, from theirs and the second's length: a is moved by n zero bytes."""
-    def times(m: list[int], v: int) -> int:
-        s, i = 0, 0
-        while v:
-            if v & 1:
-                s ^= m[i]
-            v >>= 1
-            i += 1
-        return s
-
-    bit = [0xEDB88320, *(1 << i for i in range(31))]
-    power = [times(bit, x) for x in bit]
-    power = [times(power, x) for x in power]
-    n, m = n, [times(power, x) for x in power]
-    while n:
-        if n & 1:
-            a = times(m, a)
-        m = [times(m, x) for x in m]
-        n >>= 1
+    k = 0
+    while n >> k:
+        if n >> k & 1:
+            a = _times(_zeros(k), a)
+        k += 1
     return a ^ b
 
 
