@@ -31,6 +31,8 @@ TABLES: dict[str, str | tuple[str, str]] = {
     "surface_forms": """SELECT l.surface, l.linked_count, l.ambiguity, l.singletons, l.linked_count + coalesce(s.seen, 0) AS total_count,
         CAST(l.linked_count AS DOUBLE) / (l.linked_count + coalesce(s.seen, 0)) AS linkability FROM linked_counts l LEFT JOIN seen_counts s ON l.surface = s.surface""",
     "mentions": "SELECT t.doc_id, t.pos, t.tok, t.surface, f.linkability, f.ambiguity, f.singletons, f.linked_count, f.total_count FROM token_surfaces t JOIN surface_forms f ON t.surface = f.surface",
+    # Runs of mentions side by side.
+    "chunks": "SELECT doc_id, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM mentions) x GROUP BY doc_id, run",
     "gold": "SELECT m.doc_id, m.pos, t.title AS gold FROM mentions m LEFT JOIN (SELECT DISTINCT title FROM anchors) t ON m.tok = t.title",
     "candidates": "SELECT m.doc_id, m.pos, m.surface, m.linkability, c.title, c.p_title, c.p_surface, c.n, c.rank FROM mentions m JOIN surface_candidates c ON m.surface = c.surface WHERE c.rank <= 20",
     "best": "SELECT m.doc_id, m.pos, m.tok, m.surface, m.linkability, c.title AS top, c.p_title FROM mentions m JOIN surface_candidates c ON m.surface = c.surface WHERE c.rank = 1",

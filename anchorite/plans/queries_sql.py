@@ -52,6 +52,36 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "C1_kept_candidates": "SELECT doc_id, pos, title, rank FROM candidates WHERE rank <= 3",
     "C2_context_windows": "SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - 1 AS n_context FROM mentions",
     "C5_coherence": "SELECT l.l_orderkey AS doc, p.l_partkey AS title, count(*) AS n_context, round(sum(coalesce(s.in_pmi, 0.0)) / count(*), 6) AS avg_in_pmi, round(greatest(max(coalesce(s.in_ngd, 0.0)), 0.0), 6) AS max_in_ngd, round(sum(CASE WHEN s.two_way THEN s.out_pmi ELSE 0.0 END) / count(*), 6) AS avg_two_way FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) p JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = p.l_orderkey AND l.l_partkey <> p.l_partkey LEFT JOIN pairwise_sim s ON s.a = least(l.l_partkey, p.l_partkey) AND s.b = greatest(l.l_partkey, p.l_partkey) GROUP BY l.l_orderkey, p.l_partkey",
+    # Text and span functions.
+    "F3_isolated_punctuation": (
+        "SELECT doc_id, CAST(length(x) AS BIGINT) AS n_chars, md5(x) AS key FROM (SELECT doc_id, regexp_replace(text, '([.,;:!?()])', ' $1 ') AS x FROM documents) y",
+        r"SELECT doc_id, length(x) AS n_chars, md5(x) AS key FROM (SELECT doc_id, regexp_replace(text, '([.,;:!?()])', ' \1 ', 'g') AS x FROM documents) y",
+    ),
+    "F5_url_keys": f"SELECT DISTINCT title, translate(lower(replace(replace(title, '-', '_'), ' ', '_')), {FOLD}) AS url_key FROM anchors",
+    "F7_stripped": (
+        "SELECT surface, regexp_replace(surface, '[^A-Za-z0-9]', '') AS stripped FROM (SELECT DISTINCT surface FROM token_surfaces) x",
+        "SELECT surface, regexp_replace(surface, '[^A-Za-z0-9]', '', 'g') AS stripped FROM (SELECT DISTINCT surface FROM token_surfaces) x",
+    ),
+    "F19_acronyms": (
+        "SELECT p_partkey, regexp_replace(p_type, '[^A-Z]', '') AS capitals, array_join(transform(split(p_name, ' '), w -> upper(substr(w, 1, 1))), '') AS initials FROM part",
+        "SELECT p_partkey, regexp_replace(p_type, '[^A-Z]', '', 'g') AS capitals, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1))), '') AS initials FROM part",
+    ),
+    "F29_sentence_starts": "SELECT doc_id, pos FROM (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tokens) x WHERE before IS NULL OR before LIKE '%.' OR before LIKE '%!' OR before LIKE '%?'",
+    "K14_spell_index": (
+        "SELECT title, substr(lower(title), i, n) AS gram, count(*) AS times FROM (SELECT title, n, explode(sequence(1, length(title) - n + 1)) AS i FROM (SELECT title, explode(sequence(1, 5)) AS n FROM (SELECT DISTINCT title FROM anchors) t) a WHERE n <= length(title)) b GROUP BY 1, 2",
+        "SELECT title, substr(lower(title), i, n) AS gram, count(*) AS times FROM (SELECT title, n, unnest(range(1, length(title) - n + 2)) AS i FROM (SELECT title, unnest(range(1, 6)) AS n FROM (SELECT DISTINCT title FROM anchors) t) a WHERE n <= length(title)) b GROUP BY 1, 2",
+    ),
+    "K15_back_filled": "SELECT r.src, coalesce(t.dst, r.dst) AS dst FROM redirects r LEFT JOIN redirects t ON t.src = r.dst",
+    "L21_recapitalised": "SELECT DISTINCT tok, CASE WHEN tok = upper(tok) AND length(tok) - length(translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '')) > 3 THEN upper(substr(tok, 1, 1)) || lower(substr(tok, 2)) ELSE tok END AS corrected FROM tokens",
+    "M3_chunks": "SELECT doc_id, s, e FROM chunks WHERE e - s > 1",
+    "M4_windows": "SELECT c.doc_id, m.pos AS s, m.pos + k.k AS e FROM chunks c JOIN mentions m ON m.doc_id = c.doc_id AND m.pos >= c.s AND m.pos < c.e CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) k(k) WHERE m.pos + k.k <= c.e AND NOT (m.pos = c.s AND m.pos + k.k = c.e)",
+    "M6_merged_spans": "SELECT coalesce(b.doc_id, g.doc_id) AS doc_id, coalesce(b.pos, g.pos) AS pos, coalesce(g.gold, b.surface) AS surface FROM (SELECT doc_id, pos, surface FROM best WHERE linkability < 0.5) b FULL OUTER JOIN (SELECT doc_id, pos, gold FROM gold WHERE gold IS NOT NULL) g ON g.doc_id = b.doc_id AND g.pos = b.pos",
+    "M10_eligible": "SELECT m.doc_id, m.pos FROM mentions m LEFT ANTI JOIN (SELECT token FROM vocab CROSS JOIN n_docs WHERE df * 2 > n_docs.n) s ON m.surface = s.token WHERE m.linkability >= 0.05 AND length(m.surface) >= 2",
+    "N11_abbreviated": "SELECT a.doc_id, a.tok AS abbreviated, b.tok AS head FROM (SELECT DISTINCT doc_id, tok FROM tokens WHERE length(tok) < 5 AND tok LIKE '%.') a JOIN (SELECT DISTINCT doc_id, tok FROM tokens WHERE length(tok) < 4) b ON a.doc_id = b.doc_id AND a.tok = b.tok || '.'",
+    "O3_mention_lines": "SELECT x.doc_id, x.pos, x.surface || ' -> ' || coalesce(x.link, '*null*') || ' / ' || coalesce(g.gold, '*null*') AS line FROM decided x JOIN gold g ON g.doc_id = x.doc_id AND g.pos = x.pos",
+    "E10_equal_spans": "SELECT x.doc_id, count(*) AS n FROM decided x JOIN gold g ON g.doc_id = x.doc_id AND g.pos = x.pos AND g.gold = x.link GROUP BY x.doc_id",
+    "Z4_known_tokens": "SELECT t.doc_id, CAST(sum(t.tf) AS BIGINT) AS n, count(*) AS n_distinct FROM term_counts t JOIN (SELECT token FROM vocab WHERE df >= 5) v ON v.token = t.token GROUP BY t.doc_id",
+    "W7_sample": "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS STRING)), doc_id LIMIT 100",
     # Ranking and linking.
     "R1_scaling": "SELECT max(abs(l_quantity)) AS quantity, max(abs(l_extendedprice)) AS price, max(abs(l_discount)) AS discount, max(abs(l_tax)) AS tax FROM lineitem",
     "R2_linear_scores": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.5 * l_quantity / 50 - 0.2 * l_discount + 0.1 * l_tax, 6) + 0e0 AS score FROM lineitem",

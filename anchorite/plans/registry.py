@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model, queries_sql
+from . import model, queries_code, queries_sql
 
 INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -25,7 +26,8 @@ def _query(text: str | tuple[str, str]) -> Callable[[SparkSession, str], DataFra
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(text) for name, text in queries_sql.QUERIES.items()}
+    code = {name: partial(q, run_sql) for name, q in queries_code.QUERIES.items()}
+    return {name: _query(text) for name, text in queries_sql.QUERIES.items()} | code
 
 
 def oracles() -> dict[str, str]:

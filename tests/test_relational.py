@@ -6,7 +6,9 @@ import pytest
 from anchorite.plans import model, registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(registry.queries())
+#: No token of the tables is an abbreviation of another one.
+EMPTY = {"N11_abbreviated"}
+NAMES = sorted(registry.oracles())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def test_twin(spark, oracle, name):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
     assert key(got) == key(want)
-    assert len(got) > 0
+    assert len(got) > 0 or name in EMPTY
 
 
 def test_filters_and_columns_reach_the_scan(spark):
