@@ -15,12 +15,12 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "K8_ambiguous_targets": "SELECT surface, count(*) AS n_targets, min(title) AS first_title, max(title) AS last_title FROM pair_counts GROUP BY surface HAVING count(*) > 1",
     "K9_relation_index": "SELECT l.src AS from_id, 'WIKI_LINK_RELATION' AS pred, l.dst AS to_id, p.p_name AS from_name, q.p_name AS to_name FROM links l JOIN part p ON p.p_partkey = l.src JOIN part q ON q.p_partkey = l.dst",
     "K10_infobox_relations": "SELECT t.arg1, t.pred, t.arg2, p.p_name AS name1, s.s_name AS name2 FROM triples t JOIN part p ON p.p_partkey = t.arg1 JOIN supplier s ON s.s_suppkey = t.arg2",
-    "K11_pairwise_similarity": "SELECT a, b, round(in_pmi, 6) AS in_pmi, round(out_pmi, 6) AS out_pmi, round(in_ngd, 6) AS in_ngd, round(out_ngd, 6) AS out_ngd, two_way FROM pairwise_sim",
+    "K11_pairwise_similarity": "SELECT a, b, round(in_pmi, 6) AS in_pmi, round(out_pmi, 6) AS out_pmi, round(in_ngd, 6) + 0e0 AS in_ngd, round(out_ngd, 6) + 0e0 AS out_ngd, two_way FROM pairwise_sim",
     "K13_pair_keys": "SELECT concat_ws('_', CAST(least(src, dst) AS STRING), CAST(greatest(src, dst) AS STRING)) AS pair, count(*) AS n FROM links GROUP BY 1",
     "K16_surface_statistics": "SELECT surface, title, n, round(p_title, 9) AS p_title, round(p_surface, 9) AS p_surface, rank FROM surface_candidates",
     # Lookups.
     "L1_candidates": "SELECT doc_id, pos, title, rank, round(p_title, 9) AS p_title, round(p_surface, 9) AS p_surface FROM candidates",
-    "L1_good_turing": "SELECT surface, round(CASE WHEN linked_count > 5 THEN CAST(singletons AS DOUBLE) / linked_count ELSE 0.0 END, 9) AS mass, round(ln(CAST(total_count AS DOUBLE)) - ln(2478573.0), 6) AS log_appear FROM surface_forms",
+    "L1_good_turing": "SELECT surface, round(CASE WHEN linked_count > 5 THEN CAST(singletons AS DOUBLE) / linked_count ELSE 0.0 END, 9) AS mass, round(ln(CAST(total_count AS DOUBLE)) - ln(2478573.0), 6) + 0e0 AS log_appear FROM surface_forms",
     "L1_link_documents": "SELECT d.lang, count(*) AS n_mentions, count(x.link) AS n_links, CAST(sum(CASE WHEN x.link = x.tok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct FROM decided x JOIN documents d ON d.doc_id = x.doc_id GROUP BY d.lang",
     "L4_title_ids": "SELECT a.title, coalesce(t.id, -1) AS title_id FROM (SELECT DISTINCT title FROM anchors) a LEFT JOIN (SELECT title, CAST(row_number() OVER (ORDER BY title) AS BIGINT) - 1 AS id FROM (SELECT DISTINCT title FROM anchors WHERE length(title) > 2) z) t ON a.title = t.title",
     "L5_unlinkable": "SELECT surface, linked_count, total_count FROM surface_forms WHERE length(surface) < 3 OR linkability < 0.05",
@@ -51,7 +51,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "T1_title_features": "SELECT c.doc_id, c.pos, c.title, round(c.p_title, 9) AS p_title, c.rank, round(c.p_surface, 9) AS p_surface, round(CAST(a.n AS DOUBLE) / z.n, 9) AS frequency FROM candidates c JOIN (SELECT title, count(*) AS n FROM anchors GROUP BY title) a ON a.title = c.title CROSS JOIN (SELECT count(*) AS n FROM anchors) z",
     "C1_kept_candidates": "SELECT doc_id, pos, title, rank FROM candidates WHERE rank <= 3",
     "C2_context_windows": "SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - 1 AS n_context FROM mentions",
-    "C5_coherence": "SELECT l.l_orderkey AS doc, p.l_partkey AS title, count(*) AS n_context, round(sum(coalesce(s.in_pmi, 0.0)) / count(*), 6) AS avg_in_pmi, round(greatest(max(coalesce(s.in_ngd, 0.0)), 0.0), 6) AS max_in_ngd, round(sum(CASE WHEN s.two_way THEN s.out_pmi ELSE 0.0 END) / count(*), 6) AS avg_two_way FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) p JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = p.l_orderkey AND l.l_partkey <> p.l_partkey LEFT JOIN pairwise_sim s ON s.a = least(l.l_partkey, p.l_partkey) AND s.b = greatest(l.l_partkey, p.l_partkey) GROUP BY l.l_orderkey, p.l_partkey",
+    "C5_coherence": "SELECT l.l_orderkey AS doc, p.l_partkey AS title, count(*) AS n_context, round(sum(coalesce(s.in_pmi, 0.0)) / count(*), 6) AS avg_in_pmi, round(greatest(max(coalesce(s.in_ngd, 0.0)), 0.0), 6) + 0e0 AS max_in_ngd, round(sum(CASE WHEN s.two_way THEN s.out_pmi ELSE 0.0 END) / count(*), 6) AS avg_two_way FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) p JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = p.l_orderkey AND l.l_partkey <> p.l_partkey LEFT JOIN pairwise_sim s ON s.a = least(l.l_partkey, p.l_partkey) AND s.b = greatest(l.l_partkey, p.l_partkey) GROUP BY l.l_orderkey, p.l_partkey",
     # Text and span functions.
     "F3_isolated_punctuation": (
         "SELECT doc_id, CAST(length(x) AS BIGINT) AS n_chars, md5(x) AS key FROM (SELECT doc_id, regexp_replace(text, '([.,;:!?()])', ' $1 ') AS x FROM documents) y",
@@ -111,7 +111,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "E9_set_scores": "SELECT count(*) AS both_sets FROM (SELECT DISTINCT surface FROM token_surfaces INTERSECT SELECT DISTINCT surface FROM anchor_surfaces) x",
     "E13_averages": "SELECT role, count(*) AS n, round(avg(CAST(length(text) AS DOUBLE)), 6) AS mean_length FROM turns GROUP BY role",
     # Training samples and corpus statistics.
-    "W1_ranker_samples": "SELECT c.doc_id, c.pos, c.title, round(g.p_title - c.p_title, 9) AS d_title, round(g.p_surface - c.p_surface, 9) AS d_surface FROM candidates c JOIN (SELECT x.doc_id, x.pos, x.title, x.p_title, x.p_surface FROM candidates x JOIN gold y ON x.doc_id = y.doc_id AND x.pos = y.pos AND x.title = y.gold) g ON c.doc_id = g.doc_id AND c.pos = g.pos AND c.title <> g.title",
+    "W1_ranker_samples": "SELECT c.doc_id, c.pos, c.title, round(g.p_title - c.p_title, 9) + 0e0 AS d_title, round(g.p_surface - c.p_surface, 9) + 0e0 AS d_surface FROM candidates c JOIN (SELECT x.doc_id, x.pos, x.title, x.p_title, x.p_surface FROM candidates x JOIN gold y ON x.doc_id = y.doc_id AND x.pos = y.pos AND x.title = y.gold) g ON c.doc_id = g.doc_id AND c.pos = g.pos AND c.title <> g.title",
     "W2_linker_samples": "SELECT x.doc_id, x.pos, CAST(CASE WHEN x.top = g.gold THEN 1 ELSE -1 END AS BIGINT) AS label FROM best x JOIN gold g ON g.doc_id = x.doc_id AND g.pos = x.pos",
     "W5_gold_candidates": "SELECT g.doc_id, g.pos, c.title, c.rank FROM gold g JOIN candidates c ON c.doc_id = g.doc_id AND c.pos = g.pos AND c.title = g.gold",
     "Z1_unigrams": "SELECT token, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM term_counts GROUP BY token",
