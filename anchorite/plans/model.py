@@ -52,6 +52,12 @@ TABLES: dict[str, str | tuple[str, str]] = {
         FROM linked_pairs p CROSS JOIN titles_n t LEFT JOIN in_shared i ON i.a = p.a AND i.b = p.b LEFT JOIN out_shared o ON o.a = p.a AND o.b = p.b
         LEFT JOIN in_sizes ia ON ia.id = p.a LEFT JOIN in_sizes ib ON ib.id = p.b LEFT JOIN out_sizes oa ON oa.id = p.a LEFT JOIN out_sizes ob ON ob.id = p.b
         LEFT JOIN links f ON f.src = p.a AND f.dst = p.b LEFT JOIN links g ON g.src = p.b AND g.dst = p.a""",
+    # Neighbours weigh by their specificity; a page that nothing links to weighs 0.01.
+    "specificity": "SELECT u.id, coalesce(CAST(1 AS DOUBLE) / i.n, 0.01) AS w FROM (SELECT src AS id FROM links UNION SELECT dst FROM links) u LEFT JOIN in_sizes i ON i.id = u.id",
+    "in_norms": "SELECT x.dst AS id, sqrt(sum(s.w * s.w)) AS n FROM links x JOIN specificity s ON s.id = x.src GROUP BY x.dst",
+    "out_norms": "SELECT x.src AS id, sqrt(sum(s.w * s.w)) AS n FROM links x JOIN specificity s ON s.id = x.dst GROUP BY x.src",
+    "in_dots": "SELECT p.a, p.b, sum(s.w * s.w) AS dot FROM linked_pairs p JOIN links x ON x.dst = p.a JOIN links y ON y.dst = p.b AND y.src = x.src JOIN specificity s ON s.id = x.src GROUP BY p.a, p.b",
+    "out_dots": "SELECT p.a, p.b, sum(s.w * s.w) AS dot FROM linked_pairs p JOIN links x ON x.src = p.a JOIN links y ON y.src = p.b AND y.dst = x.dst JOIN specificity s ON s.id = x.dst GROUP BY p.a, p.b",
     "term_counts": "SELECT doc_id, surface AS token, count(*) AS tf FROM token_surfaces WHERE surface <> '' GROUP BY doc_id, surface",
     "vocab": "SELECT token, count(*) AS df FROM term_counts GROUP BY token",
     "n_docs": "SELECT count(*) AS n FROM documents",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import titles
+
 B = "CAST({} AS BIGINT)"
 FOLD = "'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'"
 
@@ -38,6 +40,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "F12_cosine": "SELECT d.doc_id, t.title, round(sum(d.w * t.w) / (max(x.len) * max(y.len)), 6) AS cosine FROM doc_vectors d JOIN documents o ON o.doc_id = d.doc_id JOIN title_vectors t ON t.token = d.token AND t.title = o.source JOIN (SELECT doc_id, sqrt(sum(w * w)) AS len FROM doc_vectors GROUP BY doc_id) x ON x.doc_id = d.doc_id JOIN (SELECT title, sqrt(sum(w * w)) AS len FROM title_vectors GROUP BY title) y ON y.title = t.title WHERE x.len > 0 AND y.len > 0 GROUP BY d.doc_id, t.title",
     "F14_shared_links": "SELECT a, b, i FROM out_shared",
     "F15_link_weights": "SELECT id, n, round(ln((CAST(t AS DOUBLE) + 1) / n), 6) AS log_specificity, round(CAST(1 AS DOUBLE) / n, 9) AS specificity FROM in_sizes CROSS JOIN (SELECT n AS t FROM titles_n) z",
+    # The link features of relatedness; those of texts and categories are F12_cosine.
+    "F16_link_relatedness": "SELECT p.a, p.b, round(p.in_pmi, 6) AS in_pmi, round(p.out_pmi, 6) AS out_pmi, round(p.in_ngd, 6) + 0e0 AS in_ngd, round(p.out_ngd, 6) + 0e0 AS out_ngd, round(coalesce(d.dot / (na.n * nb.n), 0e0), 6) AS in_cosine, round(coalesce(e.dot / (oa.n * ob.n), 0e0), 6) AS out_cosine, p.two_way FROM pairwise_sim p LEFT JOIN in_dots d ON d.a = p.a AND d.b = p.b LEFT JOIN out_dots e ON e.a = p.a AND e.b = p.b LEFT JOIN in_norms na ON na.id = p.a LEFT JOIN in_norms nb ON nb.id = p.b LEFT JOIN out_norms oa ON oa.id = p.a LEFT JOIN out_norms ob ON ob.id = p.b",
     "F17_shapes": "SELECT DISTINCT tok, tok = lower(tok) AS no_upper, substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) AS capitalised, CAST(length(tok) - length(translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_capitals FROM tokens",
     "F18_likely_acronym": "SELECT DISTINCT tok, (tok <> 'I' AND length(tok) < 5 AND tok = upper(tok)) OR length(tok) - length(replace(tok, '.', '')) >= greatest(2, length(tok) / 2) AS acronym FROM tokens",
     "F21_canonical_title": "SELECT DISTINCT title, trim(split_part(split_part(replace(title, '_', ' '), ',', 1), '(', 1)) AS canonical FROM anchors",
@@ -66,6 +70,13 @@ QUERIES: dict[str, str | tuple[str, str]] = {
         "SELECT p_partkey, regexp_replace(p_type, '[^A-Z]', '') AS capitals, array_join(transform(split(p_name, ' '), w -> upper(substr(w, 1, 1))), '') AS initials FROM part",
         "SELECT p_partkey, regexp_replace(p_type, '[^A-Z]', '', 'g') AS capitals, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1))), '') AS initials FROM part",
     ),
+    # Customers' names with their nations stand for titles with a second entity, which must be a known name.
+    "F22_secondary_entities": f"SELECT c_custkey, x.second FROM (SELECT c_custkey, {titles.secondary('full_name')} AS second FROM (SELECT c.c_custkey, replace(c.c_name, '#', '_') || ',_' || n.n_name AS full_name FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey) t) x WHERE x.second IN (SELECT n_name FROM nation)",
+    "F23_heads": f"SELECT p_partkey, {titles.head('p_name')} AS head, {titles.head('p_type')} AS type_head FROM part",
+    "F28_match_flags": "SELECT doc_id, pos, title, surface = lower(title) AS perfect, p_surface < 1e-6 AS no_surface_share FROM candidates",
+    "M2_outermost_spans": "SELECT w.doc_id, w.s, w.e FROM (SELECT doc_id, pos AS s, pos + 1 AS e FROM mentions UNION SELECT doc_id, s, e FROM chunks) w LEFT ANTI JOIN (SELECT doc_id, s, e FROM chunks WHERE e - s > 1) c ON c.doc_id = w.doc_id AND c.s <= w.s AND c.e >= w.e AND c.e - c.s > w.e - w.s",
+    "N10_contained_mentions": "SELECT c.doc_id, c.s, c.e, m.pos, m.surface FROM chunks c JOIN mentions m ON m.doc_id = c.doc_id AND m.pos >= c.s AND m.pos < c.e WHERE c.e - c.s BETWEEN 2 AND 4",
+    "Z7_longest_first": "SELECT doc_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s) AS BIGINT) AS place FROM chunks",
     "F29_sentence_starts": "SELECT doc_id, pos FROM (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tokens) x WHERE before IS NULL OR before LIKE '%.' OR before LIKE '%!' OR before LIKE '%?'",
     "K14_spell_index": (
         "SELECT title, substr(lower(title), i, n) AS gram, count(*) AS times FROM (SELECT title, n, explode(sequence(1, length(title) - n + 1)) AS i FROM (SELECT title, explode(sequence(1, 5)) AS n FROM (SELECT DISTINCT title FROM anchors) t) a WHERE n <= length(title)) b GROUP BY 1, 2",

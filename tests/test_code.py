@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorite.functions.text import jaro_winkler, likeness, long_entities, stem, stem_of
+from anchorite.functions import titles
 from anchorite.operators.relations import choose, link_jointly
 from anchorite.operators.spans import claim, resolve_overlaps
 from anchorite.sources import files
@@ -95,3 +96,12 @@ def test_files(spark, tmp_path):
     (texts / "a.txt").write_text("it�s\nso")
     (texts / "b.txt~").write_text("no")
     assert [r.text for r in files.read_texts(spark, str(texts)).collect()] == ["it's\nso"]
+
+
+def test_title_parts(spark):
+    rows = {"National_Party_(UK,_1976)": "UK", "Chicago,_Illinois": "Illinois", "List_of_Atlas_Shrugged_characters": "Atlas_Shrugged", "Duke_of_York": "York", "Plain": None, "Year_(1976)": None, "": None}
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", F.expr(titles.secondary("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == rows
+    rows = {"Supreme Court in Florida": "Court", "Chicago_(Font)": "Chicago", "Amgen Inc.": "Inc.", "": ""}
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", F.expr(titles.head("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == rows
