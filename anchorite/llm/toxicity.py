@@ -12,7 +12,9 @@ document.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import unicodedata
+from array import array
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,21 @@ THRESHOLD = 0.7
 WINDOW = 6
 #: Weight left to a hit between quotation marks.
 QUOTED = 0.25
+#: Bytes of an automaton's full table; a larger one (scripts of many letters) is searched by its moves instead.
+MAX_TABLE = 32 << 20
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_hits long, n_fuzzy long, n_quoted long"
 QUOTES = "\"“”„«»‘’"
 
-_LOW = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x250)], np.int32)
-_LETTER = np.array([chr(c).isalnum() for c in range(0x250)])
+#: No code point from here on is a letter or has a lower-case form.
+TOP = 0x32400
+_LOW = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(TOP)], np.int32)
+#: str.lower() gives the sigma at a word's end a form of its own; both are one letter here and in the lexicon.
+FINAL_SIGMA, SIGMA = "ςσ"
+_LOW[ord(FINAL_SIGMA)] = ord(SIGMA)
+#: Marks belong to the letters before them.
+_LETTER = np.array([chr(c).isalnum() or (c >= 0x250 and unicodedata.category(chr(c))[0] == "M") for c in range(TOP)])
+#: White space of every script, and punctuation of those that write without it.
+_SPACE = np.array([SPACE[c] if c < 256 else unicodedata.category(chr(c))[0] in ("ZP" if c >= 0x3000 else "Z") for c in range(TOP)])
 
 
 class Automaton:
@@ -55,11 +67,7 @@ class Automaton:
                 node = children[node][c]
             ends[node] = i
         letters = sorted({c for t in terms for c in t})
-        self.classes = np.zeros(0x250, np.int32)
-        for k, c in enumerate(letters, 1):
-            if ord(c) < 0x250:
-                self.classes[ord(c)] = k
-        self.other = 0
+        self.letters = np.array([ord(c) for c in letters], np.int32)
         fuzzy_ok = {n for n, i in ends.items() if len(terms[i]) >= 5}
 
         # A state of the trie and automaton together: (node, edits, letter still to come of a swap).
@@ -74,50 +82,73 @@ class Automaton:
                             todo.append(s)
             return frozenset(s for s in seen if s[1] == 0 or (s[0], 0, "") not in seen)
 
-        def step(states: frozenset, c: str | None) -> frozenset:
-            out = set()
+        def step(states: frozenset) -> tuple[set, dict[str, set]]:
+            """What any letter leads to, and what each named letter adds to it."""
+            common, own = set(), defaultdict(set)
             for node, edits, due in states:
                 if due:
-                    if c == due:
-                        out.add((node, 1, ""))
+                    own[due].add((node, 1, ""))
                     continue
-                if c is not None and c in children[node]:
-                    out.add((children[node][c], edits, ""))
                 if edits == 0:
-                    out.add((node, 1, ""))  # one letter too many
-                    for first, child in children[node].items():
-                        if first != c:
-                            out.add((child, 1, ""))  # another letter
-                        if c is not None and c in children[child] and c != first:
-                            out.add((children[child][c], 1, first))  # swapped
-            return close(out)
+                    common.add((node, 1, ""))  # one letter too many
+                for first, child in children[node].items():
+                    own[first].add((child, edits, ""))
+                    if edits == 0:
+                        common.add((child, 1, ""))  # another letter; without an edit it is the better state of the two
+                        for second, grandchild in children[child].items():
+                            if second != first:
+                                own[second].add((grandchild, 1, first))  # swapped
+            return common, own
 
         start = close({(0, 0, "")})
-        ids, queue, rows = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)]
+        ids, queue, foreign, moves, to = {frozenset(): 0, start: 1}, deque([start]), [0], array("q"), array("i")
+        place = {c: k for k, c in enumerate(letters, 1)}
         self.hit, self.edits = [-1], [0]
         while queue:
-            states = queue.pop(0)
+            states = queue.popleft()
             own = [(e, ends[n]) for n, e, due in states if not due and n in ends and (e == 0 or n in fuzzy_ok)]
             best = min(own, default=None)
             self.hit.append(best[1] if best else -1)
             self.edits.append(best[0] if best else 0)
-            row = []
-            for c in [None, *letters]:
-                after = step(states, c)
+            common, named = step(states)
+            for k in [0, *sorted(place[c] for c in named)]:
+                after = close(common | named[letters[k - 1]] if k else common)
                 if after not in ids:
                     ids[after] = len(ids)
                     queue.append(after)
-                row.append(ids[after])
-            rows.append(row)
-        self.table = np.array(rows, np.int32)
+                if not k:
+                    foreign.append(ids[after])
+                elif ids[after] != foreign[-1]:
+                    moves.append((len(foreign) - 1) * (len(letters) + 1) + k)
+                    to.append(ids[after])
+        self.foreign, self.moves, self.to = np.array(foreign, np.int32), np.array(moves, np.int64), np.array(to, np.int32)
+        self.table = None
+        if len(foreign) * (len(letters) + 1) * 4 <= MAX_TABLE:
+            self.table = np.repeat(self.foreign, len(letters) + 1)
+            self.table[self.moves] = self.to
         self.hit, self.edits = np.array(self.hit, np.int32), np.array(self.edits, np.int32)
 
+    def classes(self, cp: np.ndarray) -> np.ndarray:
+        """Class of each code point: its place among the terms' letters, from 1 on, or 0 if no term has it."""
+        if not len(self.letters):
+            return np.zeros(len(cp), np.int64)
+        at = np.minimum(np.searchsorted(self.letters, cp), len(self.letters) - 1)
+        return np.where(self.letters[at] == cp, at + 1, 0)
+
+    def after(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * (len(self.letters) + 1) + cls
+        if self.table is not None:
+            return self.table[key]
+        if not len(self.moves):
+            return self.foreign[state]
+        at = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+        return np.where(self.moves[at] == key, self.to[at], self.foreign[state])
+
     def run(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term (or -1) and edits of each span of code points."""
-        n, width = len(start), self.table.shape[1]
+        n = len(start)
         term, edits = np.full(n, -1, np.int32), np.zeros(n, np.int32)
-        cls = np.where(cp < 0x250, self.classes[np.minimum(cp, 0x24F)], self.other)
-        flat = self.table.ravel()
+        cls = self.classes(cp)
         lane, at, stop, state = np.arange(n), start.copy(), end, np.ones(n, np.int32)
         while len(lane):
             done = at >= stop
@@ -125,7 +156,7 @@ class Automaton:
                 term[lane[done]], edits[lane[done]] = self.hit[state[done]], self.edits[state[done]]
                 keep = ~done
                 lane, at, stop, state = lane[keep], at[keep], stop[keep], state[keep]
-            state = flat[state.astype(np.int64) * width + cls[at]]
+            state = self.after(state, cls[at])
             at = at + 1
             live = state > 0
             if not live.all():
@@ -143,7 +174,7 @@ def code_points(b: Block) -> tuple[np.ndarray, np.ndarray]:
     two, three, four = (c >= 0xC0) & (c < 0xE0), (c >= 0xE0) & (c < 0xF0), c >= 0xF0
     x1, x2, x3 = pad[at + 1] & 0x3F, pad[at + 2] & 0x3F, pad[at + 3] & 0x3F
     c = np.where(two, (c & 0x1F) << 6 | x1, np.where(three, (c & 0x0F) << 12 | x1 << 6 | x2, np.where(four, (c & 7) << 18 | x1 << 12 | x2 << 6 | x3, c)))
-    low = c < 0x250
+    low = c < TOP
     c[low] = _LOW[c[low]]
     return c, np.searchsorted(at, b.off)
 
@@ -152,14 +183,9 @@ def words(b: Block):
     """Code points and the trimmed words of each row: start, end, row; a word is a run without white space, cut to its outer letters and digits."""
     cp, off = code_points(b)
     own = Block(cp, off, b.null)
-    is_word = np.ones(len(cp), bool)
-    low = cp < 256
-    is_word[low] = ~SPACE[cp[low]]
-    start, end, row = own.runs(is_word)
-    letter = np.ones(len(cp), bool)
-    low = cp < 0x250
-    letter[low] = _LETTER[cp[low]]
-    letter[np.isin(cp, [ord(c) for c in QUOTES] + [0x2026, 0x2013, 0x2014])] = False
+    known = np.minimum(cp, TOP - 1)
+    start, end, row = own.runs(~_SPACE[known])
+    letter = _LETTER[known]
     at = np.arange(len(cp))
     ahead = np.minimum.accumulate(np.where(letter, at, len(cp))[::-1])[::-1]
     back = np.maximum.accumulate(np.where(letter, at, -1))
@@ -191,7 +217,7 @@ def lexicon(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for x in batches:
             for text, y in zip(x.column("text").to_pylist(), x.column("toxic").to_pylist(), strict=True):
                 n[y] += 1
-                for w in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+                for w in set(re.findall(r"[^\W\d_]+", (text or "").lower().replace(FINAL_SIGMA, SIGMA))):
                     if len(w) >= MIN_LENGTH:
                         found[w][y] += 1
         found[""] = n

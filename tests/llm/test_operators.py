@@ -163,6 +163,28 @@ def test_automaton_equals_edit_distance():
         assert (t >= 0) == bool(ok) and (not ok or k == min(ok)[0]), w
 
 
+def test_automaton_without_table(monkeypatch):
+    words = ["дурак", "ληστησ", "笨蛋笨蛋笨", "moron", "дурка", "笨蛋笨蛋", "moran", "слово"]
+    cp, s, e, *_ = toxicity.words(next(blocks(pa.array([" ".join(words)]))))
+    full = toxicity.Automaton(words[:4])
+    monkeypatch.setattr(toxicity, "MAX_TABLE", 0)
+    sparse = toxicity.Automaton(words[:4])
+    assert full.table is not None and sparse.table is None
+    for a in (full, sparse):
+        assert [x.tolist() for x in a.run(cp, s, e)] == [[0, 1, 2, 3, 0, 2, 3, -1], [0, 0, 0, 0, 1, 1, 1, 0]]
+
+
+def test_toxicity_beyond_latin(spark):
+    fill = ["мир", "дом", "слово", "вода", "небо", "книга", "κόσμος", "世界", "كلمة"]
+    text = lambda i, end: " ".join(RNG.choice(fill) for _ in range(20)) + end
+    rows = [(i, text(i, " дурак ληστής 笨蛋笨蛋 " if i % 4 == 0 else " "), int(i % 4 == 0)) for i in range(200)]
+    extra = [(1000, text(0, " ДУРАК"), 1, 0), (1001, text(0, " ΛΗΣΤΉΣ"), 1, 0), (1002, text(0, " 世界，笨蛋笨蛋。世界"), 1, 0), (1003, text(0, " дурка"), 1, 1), (1004, text(0, " дуррак"), 1, 1), (1005, text(0, " дурак؟"), 1, 0), (1006, text(0, " 😀"), 0, 0)]
+    d = spark.createDataFrame([r[:2] for r in rows + extra], "doc_id long, text string")
+    out = {r.doc_id: r for r in toxicity.toxicity(d, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).collect()}
+    assert all(out[i].predicted == y and out[i].n_hits == 3 * y for i, _, y in rows if out[i].held_out)
+    assert [(out[i].n_hits, out[i].n_fuzzy) for i, *_ in extra] == [e[2:] for e in extra]
+
+
 def counts(t):
     ws = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup = set(), 0
