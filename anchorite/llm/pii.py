@@ -4,7 +4,8 @@ Emails, phone and card numbers, addresses of machines, account and national
 numbers, secrets and titled names are found by patterns. Each distinct entity of
 the corpus gets one keyed surrogate of its type: digits for digits, letters for
 letters in the same script and case, names by the title's gender; separators stay
-as each occurrence has them. Surrogates that meet each other or a real entity
+as each occurrence has them, but IPv6 addresses are written out in full. Secrets
+have no upper length. Surrogates that meet each other or a real entity
 are drawn again, so distinct entities stay distinct, and equal ones stay equal
 across documents.
 """
@@ -23,13 +24,16 @@ MAX_DRAWS = 12
 #: Kinds and their patterns, in order of precedence.
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Госпожа", "Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин"
 TITLE = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|Dr|Prof)\.? "
+GROUP, IP = "[0-9A-Fa-f]{1,4}", r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: Addresses with '::' for groups of zeros, by the number of groups before it.
+SHORT = "|".join([*(rf"(?:{GROUP}:){{{i}}}(?:(?::{GROUP}){{0,{6 - i}}}:(?:{IP}|{GROUP})|:)" for i in range(1, 7)), rf"(?:{GROUP}:){{7}}:", rf":(?::{GROUP}){{0,6}}:(?:{IP}|{GROUP})"])
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+(?<![\-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{30,60}|(?:sk|pk|rk)[\-_][A-Za-z0-9_\-]{16,80}|(?<=(?i:token|secret|password|passwd|api[_\-]?key)\s{0,2}[:=]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?<=(?i:token|secret|password|passwd|api[_\-]?key)\s{0,2}[:=]\s{0,2}[\"']?)[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{7,}(?<!\.)|[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{30,}+|(?:sk|pk|rk)[\-_][A-Za-z0-9_\-]{16,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![A-Za-z0-9:])",
-    "ipv6": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![A-Za-z0-9:])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{6}}{IP}|{SHORT})(?![A-Za-z0-9:])",
+    "ip": rf"(?<![0-9.]){IP}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
@@ -37,7 +41,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every entity has one of these.
-HINT = rf"[0-9@]|{TITLE}\p{{Lu}}|(?i:token|secret|password|passwd|api[_\-]?key)"
+HINT = rf"[0-9@]|::|[A-Fa-f]{{32}}|(?:sk|pk|rk|ghp|gho|ghs)[\-_]|{TITLE}\p{{Lu}}|(?i:token|secret|password|passwd|api[_\-]?key)"
 
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
@@ -61,11 +65,24 @@ def bare_name(raw: Column) -> Column:
     return F.regexp_replace(raw, "^" + TITLE, "")
 
 
+def in_full(raw: Column) -> Column:
+    """All 32 digits of an IPv6 address."""
+    v4 = F.regexp_extract(raw, rf"(?<=:)({IP})$", 1)
+    octets = F.transform(F.split(v4, "\\."), lambda x: F.lpad(F.hex(x.try_cast("int")), 2, "0"))
+    tail = F.concat(F.get(octets, 0), F.get(octets, 1), F.lit(":"), F.get(octets, 2), F.get(octets, 3))
+    plain = F.when(v4 != "", F.concat(F.substring(raw, F.lit(1), F.length(raw) - F.length(v4)), tail)).otherwise(raw)
+    halves = F.split(plain, "::", -1)
+    left, right = (F.transform(F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda x: x != ""), lambda x: F.lpad(x, 4, "0")) for i in (0, 1))
+    digits = F.array_join(left, ""), F.array_join(right, "")
+    return F.lower(F.concat(digits[0], F.repeat(F.lit("0"), F.lit(32) - F.length(digits[0]) - F.length(digits[1])), digits[1]))
+
+
 def canonical(kind: Column, raw: Column) -> Column:
-    """The entity that an occurrence names: without separators and case, for names without the title."""
+    """The entity that an occurrence names: without separators and case (a secret with its separators), for names without the title."""
     return (
         F.when(kind == "name", F.lower(bare_name(raw)))
-        .when(kind.isin("email", "ip"), F.lower(raw))
+        .when(kind.isin("email", "ip", "secret"), F.lower(raw))
+        .when(kind == "ipv6", in_full(raw))
         .otherwise(F.lower(F.regexp_replace(raw, "[^A-Za-z0-9]", "")))
     )
 
@@ -141,8 +158,11 @@ def in_format(kind: Column, raw: Column, sub: Column) -> Column:
         ).otherwise(F.struct(acc.n.alias("n"), F.concat(acc.out, c).alias("out"))),
         lambda acc: acc.out,
     )
+    # A secret may be long, and its surrogate has its separators already: letter by letter, without counting.
+    cased = F.array_join(F.zip_with(chars, F.split(sub, ""), lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x)), "")
+    whole = F.regexp_replace(sub, "(.{4})(?!$)", "$1:")
     shouted = raw.rlike("[A-Z]") & ~raw.rlike("[a-z]")
-    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), F.initcap(sub))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).otherwise(places)
+    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), F.initcap(sub))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).when(kind == "secret", cased).when(kind == "ipv6", F.when(shouted, F.upper(whole)).otherwise(whole)).otherwise(places)
 
 
 def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:

@@ -130,6 +130,21 @@ def test_surrogates(spark, docs, empty):
     assert full.count() == len(ROWS) and full.columns[: len(docs.columns)] == docs.columns and pii.pseudonymise(empty).count() == 0
 
 
+def test_surrogates_of_long_secrets_and_short_addresses(spark):
+    rng = random.Random(8)
+    long = {n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 129, 256, 20000)}
+    word = "".join(rng.choice("ABCxyz0189") for _ in range(160))
+    texts = [f"key {long[32]} {long[129]} {long[256].upper()} end", f"x {long[20000]} y", f"password: {word}, sk-{word} ghp_{word}.", "token=headhead.payload.signature. Then", f"api_key='{long[32][:20]}.abc-def.{word}'", "at 2001:db8::1, 2001:0DB8:0:0:0:0:0:1 or ::1 and fe80:: via ::ffff:192.0.2.77.", "vec std::sort :: and 2001:db8:1::, sk-abcdefghijklmnopqrst dead::beef"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    for secret in (*long.values(), word, long[256].upper(), "headhead", "payload", "signature", "abc-def", "db8::1", "DB8:0", "::1 ", "fe80::", "192.0.2", "abcdefghijklmnopqrst", "dead::"):
+        assert all(secret not in t for t in out), secret
+    assert [len(w) for w in out[0].split()] == [len(w) for w in texts[0].split()] and len(out[1]) == len(texts[1])
+    assert re.fullmatch(r"token=[a-z]{8}\.[a-z]{7}\.[a-z]{9}\. Then", out[3])
+    full = re.findall(r"(?:[0-9A-Fa-f]{4}:){7}[0-9A-Fa-f]{4}", out[5])
+    assert len(full) == 5 and full[0] == full[1].lower() and len(set(map(str.lower, full))) == 4
+    assert out[6].startswith("vec std::sort :: and ")
+
+
 def test_toxicity(spark, docs, labels, empty):
     rows = [(i, prose(30) + (" you moron worthless clown " if i % 4 == 0 else " ") + prose(10), int(i % 4 == 0)) for i in range(300)]
     extra = [(1000, prose(20) + " you mor0n wrthless clown " + prose(5), 1), (1001, None, 0), (1002, "", 0)]
