@@ -5,7 +5,8 @@ numbers, secrets and titled names are found by patterns. Each distinct entity of
 the corpus gets one keyed surrogate of its type: digits for digits, letters for
 letters in the same script and case, names by the title's gender; separators stay
 as each occurrence has them, but IPv6 addresses are written out in full. Secrets
-have no upper length. Surrogates that meet each other or a real entity
+have no upper length. A document's titled names are replaced without their title,
+too, and a family name alone gets that of the document's one full name with it. Surrogates that meet each other or a real entity
 are drawn again, so distinct entities stay distinct, and equal ones stay equal
 across documents.
 """
@@ -24,6 +25,10 @@ MAX_DRAWS = 12
 #: Kinds and their patterns, in order of precedence.
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Госпожа", "Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин"
 TITLE = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|Dr|Prof)\.? "
+#: A part of a name, also of the forms McDonald and O'Brien.
+WORD = r"(?:\p{Lu}['’](?=\p{Lu}))?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+#: Country codes of one, two and three digits.
+COUNTRY = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 GROUP, IP = "[0-9A-Fa-f]{1,4}", r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Addresses with '::' for groups of zeros, by the number of groups before it.
 SHORT = "|".join([*(rf"(?:{GROUP}:){{{i}}}(?:(?::{GROUP}){{0,{6 - i}}}:(?:{IP}|{GROUP})|:)" for i in range(1, 7)), rf"(?:{GROUP}:){{7}}:", rf":(?::{GROUP}){{0,6}}:(?:{IP}|{GROUP})"])
@@ -37,7 +42,7 @@ KINDS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "name": TITLE + r"\p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){0,2}",
+    "name": TITLE + rf"{WORD}(?:[ \-]{WORD}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every entity has one of these.
@@ -91,7 +96,25 @@ def detail(kind: Column, raw: Column) -> Column:
     """What a surrogate must keep: a name's gender and script, a number's country code."""
     gender = F.when(raw.rlike(rf"^(?:{FEMALE})\b"), "f").when(raw.rlike(rf"^(?:{MALE})\b"), "m").otherwise("n")
     script = F.when(raw.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return F.when(kind == "name", F.concat_ws(":", gender, script)).when(kind == "phone", F.regexp_extract(raw, r"^\+([0-9]{1,3})(?=[ .(\-])", 1)).when(kind == "iban", F.lower(F.substring(raw, 1, 2))).otherwise("")
+    return F.when(kind == "name", F.concat_ws(":", gender, script)).when(kind == "phone", F.regexp_extract(F.regexp_replace(raw, "[^0-9+]", ""), COUNTRY, 1)).when(kind == "iban", F.lower(F.substring(raw, 1, 2))).otherwise("")
+
+
+def kept(kind: Column, keep: Column) -> Column:
+    """What all occurrences of one entity keep, as an aggregate: the gender that its titles agree on, the longest code."""
+    f, m = (F.coalesce(F.max(keep.startswith(g)), F.lit(False)) for g in ("f:", "m:"))
+    gender = F.when(f & ~m, "f").when(m & ~f, "m").otherwise("n")
+    return F.when(F.first(kind) == "name", F.concat_ws(":", gender, F.min(F.substring_index(keep, ":", -1)))).otherwise(F.max_by(keep, F.struct(F.length(keep), keep)))
+
+
+def family(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def repeats(names: Column) -> Column:
+    """A pattern of a document's names (without titles) and their family names, the longest first; null without names."""
+    forms = F.array_distinct(F.concat(names, F.transform(names, family)))
+    ordered = F.array_sort(forms, lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?=\p{Lu})(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])")))
 
 
 def byte(digest: Column, i: Column) -> Column:
@@ -162,7 +185,7 @@ def in_format(kind: Column, raw: Column, sub: Column) -> Column:
     cased = F.array_join(F.zip_with(chars, F.split(sub, ""), lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x)), "")
     whole = F.regexp_replace(sub, "(.{4})(?!$)", "$1:")
     shouted = raw.rlike("[A-Z]") & ~raw.rlike("[a-z]")
-    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), F.initcap(sub))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).when(kind == "secret", cased).when(kind == "ipv6", F.when(shouted, F.upper(whole)).otherwise(whole)).otherwise(places)
+    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), F.initcap(F.when(bare_name(raw).contains(" "), sub).otherwise(family(sub))))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).when(kind == "secret", cased).when(kind == "ipv6", F.when(shouted, F.upper(whole)).otherwise(whole)).otherwise(places)
 
 
 def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -197,14 +220,23 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     has = F.size(F.coalesce("found", F.array())) > 0
     # Only documents with entities are written down; the rest passes straight through.
-    marked = frames.stored(rows.withColumn("found", found).where(has).withColumn("uid", F.monotonically_increasing_id()), "pii")
-    one = marked.select("uid", F.posexplode("found").alias("pos", "raw")).withColumn("kind", kind_of(F.col("raw")))
-    one = one.withColumn("entity", canonical(F.col("kind"), F.col("raw"))).withColumn("keep", detail(F.col("kind"), F.col("raw")))
+    marked = rows.withColumn("found", found).where(has).withColumn("names", F.array_distinct(F.transform(F.filter("found", lambda x: x.rlike("^" + TITLE)), bare_name)))
+    # Documents with names are searched again for repeats of these without a title.
+    marked = marked.withColumn("pattern", F.concat(F.lit(PATTERN + "|"), repeats(F.col("names"))))
+    marked = marked.withColumn("found", F.when(F.col("pattern").isNull(), F.col("found")).otherwise(F.regexp_extract_all(text, F.col("pattern"), F.lit(0))))
+    marked = frames.stored(marked.withColumn("uid", F.monotonically_increasing_id()), "pii")
+    one = marked.select("uid", "names", F.posexplode("found").alias("pos", "raw")).withColumn("bare", bare_name(F.col("raw")))
+    is_name = F.exists("names", lambda n: (n == F.col("bare")) | (family(n) == F.col("bare")))
+    one = one.withColumn("kind", F.when(is_name, "name").otherwise(kind_of(F.col("raw"))))
+    # A family name alone stands for the one full name of its document that has it.
+    full = F.filter("names", lambda n: n.contains(" ") & (family(n) == F.col("bare")))
+    entity = F.when(is_name & (F.size(full) == 1), F.lower(F.get(full, 0))).otherwise(canonical(F.col("kind"), F.col("raw")))
+    one = one.withColumn("entity", entity).withColumn("keep", detail(F.col("kind"), F.col("raw"))).drop("names", "bare")
     one = frames.stored(one, "occurrences")
-    subs = dictionary(one.select("kind", "keep", "entity").distinct(), key)
-    done = one.join(subs, ["kind", "keep", "entity"]).select("uid", F.struct("pos", in_format(F.col("kind"), F.col("raw"), F.col("sub")).alias("sub")).alias("x"))
+    subs = dictionary(one.groupBy("kind", "entity").agg(kept(F.col("kind"), F.col("keep")).alias("keep")), key).drop("keep")
+    done = one.join(subs, ["kind", "entity"]).select("uid", F.struct("pos", in_format(F.col("kind"), F.col("raw"), F.col("sub")).alias("sub")).alias("x"))
     done = done.groupBy("uid").agg(F.array_sort(F.collect_list("x")).getField("sub").alias("subs"))
-    pieces = F.split(text, PATTERN, -1)
+    pieces = F.when(F.col("pattern").isNull(), F.split(text, PATTERN, -1)).otherwise(F.split(text, F.col("pattern"), -1))
     joined = F.array_join(F.flatten(F.zip_with(pieces, "subs", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     changed = marked.join(done, "uid").select("row", joined.alias("text"), F.size("subs").alias("n"))
     same = rows.withColumn("found", found).where(~has).select("row", text.alias("text"), F.lit(0).alias("n"))

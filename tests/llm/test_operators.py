@@ -145,6 +145,18 @@ def test_surrogates_of_long_secrets_and_short_addresses(spark):
     assert out[6].startswith("vec std::sort :: and ")
 
 
+def test_surrogates_of_one_entity_in_many_forms(spark):
+    texts = ["Call +1 (555) 123-4567 or +15551234567.", "Dr Anna Weber came. Anna Weber spoke; Weber left, Webern did not.", "Frau Anna Weber", "Mr McDonald and Ms O'Brien: McDonald, O'Brien", "again +15551234567", "Weber alone"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()]
+    a, b = re.fullmatch(r"Call (.*) or (.*)\.", out[0]).groups()
+    assert re.sub(r"[^0-9+]", "", a) == b == out[4].split()[1] and b.startswith("+1") and "5551234567" not in b
+    given, name, *rest = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) (\w+) spoke; (\w+) left, Webern did not\.", out[1]).groups()
+    assert rest == [given, name, name] and name != "Weber" and out[2] == f"Frau {given} {name}" and given in pii.GIVEN["f", "latin"]
+    x, y, *rest = re.fullmatch(r"Mr (\w+) and Ms (\w+): (\w+), (\w+)", out[3]).groups()
+    assert rest == [x, y] and not {x, y} & {"McDonald", "O", "Brien"}
+    assert out[5] == texts[5]
+
+
 def test_toxicity(spark, docs, labels, empty):
     rows = [(i, prose(30) + (" you moron worthless clown " if i % 4 == 0 else " ") + prose(10), int(i % 4 == 0)) for i in range(300)]
     extra = [(1000, prose(20) + " you mor0n wrthless clown " + prose(5), 1), (1001, None, 0), (1002, "", 0)]
