@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-KEY = "anchorite-surrogates"
-#: Draws for an entity whose surrogates collide; one that needs more gets a longer surrogate.
+#: Session setting that holds the key of the registered query and the pipeline; without it, they use one for public test data.
+KEY_SETTING, TEST_KEY = "spark.anchorite.surrogateKey", "anchorite-surrogates"
+#: Draws for an entity whose surrogates collide; from half of them on, surrogates are longer.
 MAX_DRAWS = 12
 
 #: Kinds and their patterns, in order of precedence.
@@ -83,10 +84,11 @@ def in_full(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """The entity that an occurrence names: without separators and case (a secret with its separators), for names without the title."""
+    """The entity that an occurrence names: without separators and case (a secret as it stands), for names without the title."""
     return (
         F.when(kind == "name", F.lower(bare_name(raw)))
-        .when(kind.isin("email", "ip", "secret"), F.lower(raw))
+        .when(kind == "secret", raw)
+        .when(kind.isin("email", "ip"), F.lower(raw))
         .when(kind == "ipv6", in_full(raw))
         .otherwise(F.lower(F.regexp_replace(raw, "[^A-Za-z0-9]", "")))
     )
@@ -110,6 +112,11 @@ def family(name: Column) -> Column:
     return F.substring_index(name, " ", -1)
 
 
+def titled(name: Column) -> Column:
+    """Capitals after spaces and hyphens."""
+    return F.array_join(F.transform(F.split(name, "-"), F.initcap), "-")
+
+
 def repeats(names: Column) -> Column:
     """A pattern of a document's names (without titles) and their family names, the longest first; null without names."""
     forms = F.array_distinct(F.concat(names, F.transform(names, family)))
@@ -143,28 +150,41 @@ def pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))).cast("int") + 1)
 
 
-def surrogate(kind: Column, entity: Column, keep: Column, draw: Column, key: str = KEY) -> Column:
-    """The canonical surrogate of an entity at a draw."""
+def surrogate(kind: Column, entity: Column, keep: Column, draw: Column, key: str) -> Column:
+    """The canonical surrogate of an entity at a draw; a name keeps its number of parts, with their spaces and hyphens."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, keep, entity, draw.cast("string"))
     digest = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f")), 256))
     at = lambda i: byte(digest, F.lit(i))
     octets = F.concat_ws(".", *[(at(i) if i else at(i) % 223 + 1).cast("string") for i in range(4)])
-    family = {s: F.initcap(F.concat(pick(v, at(1)), pick(v, at(2)), pick(v, at(3)), F.when(draw > 0, pick(v, at(4))).otherwise(""), F.when(draw > MAX_DRAWS // 2, F.concat(pick(v, at(5)), pick(v, at(6)))).otherwise(""))) for s, v in SYLLABLES.items()}
-    parts = F.size(F.split(entity, "[ \\-]"))
+    more = F.when(draw > MAX_DRAWS // 2, 3).when(draw > 0, 1).otherwise(0)
+
+    def family_of(words: list[str], i: Column) -> Column:
+        return F.concat(*[pick(words, byte(digest, i + k)) for k in range(3)], *[F.when(more > k, pick(words, byte(digest, i + 3 + k))).otherwise("") for k in range(3)])
+
+    def name_of(given: list[str], words: list[str]) -> Column:
+        spaced = F.split(entity, " ")
+
+        def part(w: Column, i: Column) -> Column:
+            def half(_: Column, j: Column) -> Column:
+                return F.when(i == F.size(spaced) - 1, family_of(words, 1 + j * 6)).otherwise(pick(given, byte(digest, i * 17 + j * 5)))
+
+            return F.array_join(F.transform(F.split(w, "-"), half), "-")
+
+        return F.array_join(F.transform(spaced, part), " ")
+
     name = F
-    for (gender, script), given in GIVEN.items():
-        both = given if gender == "m" else given
-        name = name.when(keep == f"{gender}:{script}", F.when(parts > 1, F.concat(pick(both, at(0)), F.lit(" "), family[script])).otherwise(family[script]))
-    for script in SYLLABLES:
-        every = GIVEN["f", script] + GIVEN["m", script]
-        name = name.when(keep == f"n:{script}", F.when(parts > 1, F.concat(pick(every, at(0)), F.lit(" "), family[script])).otherwise(family[script]))
+    for script, words in SYLLABLES.items():
+        for gender in "fmn":
+            given = GIVEN["f", script] + GIVEN["m", script] if gender == "n" else GIVEN[gender, script]
+            name = name.when(keep == f"{gender}:{script}", name_of(given, words))
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     longer = F.when(draw > MAX_DRAWS // 2, F.lower(F.substring(digest, F.lit(100), F.lit(8)))).otherwise("")
     no = F.lit(False)
     mail = F.concat(letters(local, digest, F.lit(0), no), longer, F.lit("@"), letters(host, F.reverse(digest), F.lit(0), no), top)
-    other = letters(entity, digest, F.length(keep), kind.isin("secret", "mac", "ipv6") & entity.rlike("^[0-9a-f]+$"))
+    low = F.lower(entity)
+    other = letters(low, digest, F.length(keep), kind.isin("secret", "mac", "ipv6") & low.rlike("^[0-9a-f]+$"))
     return F.when(kind == "name", F.lower(name.otherwise(F.lit("")))).when(kind == "email", mail).when(kind == "ip", octets).otherwise(other)
 
 
@@ -185,14 +205,17 @@ def in_format(kind: Column, raw: Column, sub: Column) -> Column:
     cased = F.array_join(F.zip_with(chars, F.split(sub, ""), lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x)), "")
     whole = F.regexp_replace(sub, "(.{4})(?!$)", "$1:")
     shouted = raw.rlike("[A-Z]") & ~raw.rlike("[a-z]")
-    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), F.initcap(F.when(bare_name(raw).contains(" "), sub).otherwise(family(sub))))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).when(kind == "secret", cased).when(kind == "ipv6", F.when(shouted, F.upper(whole)).otherwise(whole)).otherwise(places)
+    return F.when(kind == "name", F.concat(F.regexp_extract(raw, "^(" + TITLE + ")", 1), titled(F.when(bare_name(raw).contains(" "), sub).otherwise(family(sub))))).when(kind.isin("email", "ip"), F.when(shouted, F.upper(sub)).otherwise(sub)).when(kind == "secret", cased).when(kind == "ipv6", F.when(shouted, F.upper(whole)).otherwise(whole)).otherwise(places)
+
 
+def dictionary(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, keep, entity, sub) of distinct entities (kind, keep, entity): surrogates that collide with another or with an entity are drawn again.
 
-def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, keep, entity, sub) of distinct entities (kind, keep, entity): surrogates that collide with another or with an entity are drawn again."""
+    An error tells of entities whose surrogates still collide after the last draw: none is given out that is not distinct.
+    """
     now = entities.withColumn("draw", F.lit(0)).withColumn("sub", surrogate(F.col("kind"), F.col("entity"), F.col("keep"), F.col("draw"), key))
     now = frames.stored(now, "surrogates")
-    real = now.select(F.col("kind").alias("k"), F.col("entity").alias("e")).distinct()
+    real = now.select(F.col("kind").alias("k"), F.lower("entity").alias("e")).distinct()
     for _ in range(MAX_DRAWS):
         # The one drawn first keeps its surrogate, so a kept one is never taken away.
         rank = F.row_number().over(Window.partitionBy("kind", "sub").orderBy("draw", "entity", "keep"))
@@ -203,13 +226,19 @@ def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
         after = frames.stored(after.withColumn("sub", F.when(F.col("again"), surrogate(F.col("kind"), F.col("entity"), F.col("keep"), F.col("draw"), key)).otherwise(F.col("old"))), "surrogates")
         now = after.drop("again", "old")
         if after.where("again").limit(1).count() == 0:
-            break
-    return now.select("kind", "keep", "entity", "sub")
+            return now.select("kind", "keep", "entity", "sub")
+    raise RuntimeError(f"{after.where('again').count()} entities have no distinct surrogate after {MAX_DRAWS} draws")
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The input's rows and columns with surrogates in the text, and a column pii_count (replaced if there is one).
 
+    Surrogates follow from the key, which must be kept as secret as the data: who has it can test guesses.
+
     Null and empty texts stay as they are, with count 0. Repeated rows give
     repeated rows with the same surrogates; other columns pass through untouched,
     whatever their names. An empty input gives no rows.
@@ -246,4 +275,4 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents")
-    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", "pii_count")
+    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), session_key(spark)).select("doc_id", "text", "pii_count")

@@ -9,7 +9,7 @@ from anchorite.llm import frames
 from anchorite.llm.decontamination import drop_contaminated
 from anchorite.llm.jaccard_join import one_of_each
 from anchorite.llm.packing import best_fit_packing
-from anchorite.llm.pii import pseudonymise
+from anchorite.llm.pii import pseudonymise, session_key
 from anchorite.llm.quality_classifier import keep_quality
 
 
@@ -30,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    out = pseudonymise(docs).drop("pii_count")
+    out = pseudonymise(docs, session_key(spark)).drop("pii_count")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
