@@ -57,8 +57,11 @@ def sample_ids(frame: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of a bounded set of ids (the result of sample_ids), found by broadcast; one row for each id."""
-    return docs.join(F.broadcast(ids), "doc_id")
+    """(doc_id, text) of a bounded set of ids (the result of sample_ids), found by broadcast: one row for each id, its least text where rows share an id.
+
+    So the result has no more rows than ids, however often a row is repeated.
+    """
+    return docs.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
 def platt(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

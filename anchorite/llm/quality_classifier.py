@@ -3,8 +3,10 @@
 Positive-unlabelled learning with the non-negative risk estimator: with class
 prior p, the risk is p R_P(+) + max(0, R_U(-) - p R_P(-)). Positives are a
 bounded sample of labelled documents of quality 1 in the training folds,
-unlabelled text a bounded sample of all documents. The prior is estimated from the
-labels' shares, or from the two samples' scores where all labels are positive. Features are shape frequencies of whole texts.
+unlabelled text a bounded sample of all documents; labels of quality 0 take no
+part. The prior is estimated from the two samples' scores, and the net's logistic
+output under the unbiased risk is the probability itself. Features are shape
+frequencies of whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from . import frames, learn
 from .textvec import WORD, Block, blocks, distinct, grams, per_row, repeated
 
 #: Bounds on the samples that the model is fitted to.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 6000, 12000, 6000
+MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
 PARTS, HELD = 4, 2
 THRESHOLD = 0.7
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -84,23 +86,37 @@ def sampled(docs: DataFrame) -> np.ndarray:
 
 
 def estimated_prior(fp: np.ndarray, fu: np.ndarray) -> float:
-    """Share of positives among unlabelled rows: the least ratio of upper score tails, which is reached where the tail holds positives alone."""
-    cut = np.quantile(fp, np.linspace(0.02, 0.85, 84))
-    p = (fp[:, None] >= cut).mean(0)
-    u = (fu[:, None] >= cut).mean(0)
-    return float(np.clip(np.min((u + 1 / np.sqrt(len(fu)) / 2) / p), 0.05, 0.98))
+    """Share of positives among unlabelled rows, from scores of rows that the net has not seen.
+
+    An upper score tail that holds positives alone has this share as the ratio of its parts of both samples; other
+    tails have more. So it is the least ratio, over few tails of many rows, as chance minima of small ones lie too low.
+    """
+    cut = np.quantile(fp, np.linspace(0.05, 0.4, 8))
+    p, u = (fp[:, None] >= cut).mean(0), (fu[:, None] >= cut).mean(0)
+    return float(np.clip(np.min(u / p), 0.05, 0.98))
+
+
+def crossed_prior(xp: np.ndarray, xu: np.ndarray, seed: int) -> float:
+    """The prior, from nets that score the half of each sample that they were not fitted to."""
+    if min(len(xp), len(xu)) < 4:
+        return 0.5
+    scores, rng = [], np.random.default_rng(seed)
+    xp, xu = rng.permutation(xp), rng.permutation(xu)
+    for k in (0, 1):
+        net, _ = fit(xp[1 - k :: 2], xu[1 - k :: 2], 0.5, 150, seed)
+        scores.append((net.forward(xp[k::2])[0], net.forward(xu[k::2])[0]))
+    return float(np.mean([estimated_prior(p, u) for p, u in scores]))
 
 
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400, seed: int = 7) -> tuple[learn.Net, float]:
     """A net that minimises the non-negative unbiased risk with the logistic loss; without a prior, one is estimated first."""
     if prior is None:
-        net, _ = fit(xp, xu, 0.5, 150, seed)
-        prior = estimated_prior(net.forward(xp)[0], net.forward(xu)[0])
+        prior = crossed_prior(xp, xu, seed)
     net = learn.Net(xp.shape[1], 12, seed)
     net.standardise(xu)
     opt, rng = learn.Adam(net.params, 0.01), np.random.default_rng(seed)
     # Few rows are seen a few dozen times each, not hundreds.
-    for _ in range(min(steps, 60 + len(xu) // 8)):
+    for _ in range(min(steps, 150 + len(xu) // 8)):
         p, u = xp[rng.integers(0, len(xp), 512)], xu[rng.integers(0, len(xu), 1024)]
         f, h, z = net.forward(np.vstack([p, u]))
         fp, fu = f[: len(p)], f[len(p) :]
@@ -115,28 +131,20 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400, s
     return net, prior
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[learn.Net, float, float, float]:
-    """The net, the prior and the calibration, from labels of the training folds and unlabelled documents."""
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[learn.Net, float]:
+    """The net and the estimated prior, from trusted positives of the training folds and unlabelled documents.
+
+    Negative labels take no part: neither in the fit nor in the prior.
+    """
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(frames.fold("doc_id", PARTS) != HELD)
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     positive = learn.rows_of(docs, learn.sample_ids(lab.where("quality = 1"), MAX_POSITIVE, 1)).withColumn("mark", F.lit(1))
     unlabelled = learn.rows_of(docs, learn.sample_ids(docs, MAX_UNLABELLED, 2)).withColumn("mark", F.lit(-1))
-    rejected = learn.sample_ids(lab.where("quality = 0"), MAX_CALIBRATION // 2, 3)
-    calibration = learn.rows_of(docs, rejected).withColumn("mark", F.lit(0))
-    x = sampled(positive.unionByName(unlabelled).unionByName(calibration))
-    xp, xu, xn = (x[x[:, -1] == m, :-1] for m in (1, -1, 0))
+    x = sampled(positive.unionByName(unlabelled))
+    xp, xu = (x[x[:, -1] == m, :-1] for m in (1, -1))
     if not len(xp) or not len(xu):
-        return learn.Net(WIDTH, 1, 0), 0.5, 0.0, 0.0
-    # A quarter of the positives is kept from the fit and calibrates its scores.
-    apart = np.arange(len(xp)) % 4 == 3
-    known = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
-    n1, n0 = known.get(1, 0), known.get(0, 0)
-    # Labelled rows of both kinds give the prior; positives alone leave it to the scores.
-    net, prior = fit(xp[~apart], xu, min(0.98, max(0.02, n1 / (n1 + n0))) if n0 else None)
-    fp, fn = net.forward(xp[apart])[0], net.forward(xn)[0] if len(xn) else np.zeros(0)
-    weight = np.concatenate([np.full(len(fp), prior / max(1, len(fp))), np.full(len(fn), (1 - prior) / max(1, len(fn)))]) * (len(fp) + len(fn))
-    a, b = learn.platt(np.concatenate([fp, fn]), np.concatenate([np.ones(len(fp)), np.zeros(len(fn))]), weight)
-    return net, prior, a, b
+        return learn.Net(WIDTH, 1, 0), 0.5
+    return fit(xp, xu, None)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,29 +153,32 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     Null and empty texts are scored by the features of an empty text. A null id
     is in no held-out fold. Repeated rows give repeated rows; conflicting label
     rows of an id count as their largest; without positives every score is 0.5.
-    Other columns are ignored. The sign of calibration never turns the order.
+    Other columns are ignored.
     """
     own = frames.only(docs, id_col, text_col)
-    net, _, a, c = trained(own, labels)
+    net, _ = trained(own, labels)
     width = WIDTH
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             held = x.column("held_out")
             for b in blocks(x.column("text")):
-                s = learn.sigmoid(a * net.forward(features(b)[:, :width].astype(np.float64))[0] + c)
+                s = learn.sigmoid(net.forward(features(b)[:, :width].astype(np.float64))[0])
                 yield frames.batch(OUT, x.column("doc_id").slice(b.lo, b.n), held.slice(b.lo, b.n), s, (s >= THRESHOLD).astype(np.int32))
 
     return own.withColumn("held_out", F.coalesce(frames.fold("doc_id", PARTS) == HELD, F.lit(False))).mapInArrow(score, OUT)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, all columns, whose texts are predicted to be of quality."""
-    net, _, a, c = trained(frames.only(docs, id_col, text_col), labels)
+    """The input's rows, all columns, whose texts are predicted to be of quality; repeated rows share their fate.
+
+    Null and empty texts are judged by the features of an empty text. Without positives every score is 0.5 and no row stays.
+    """
+    net, _ = trained(frames.only(docs, id_col, text_col), labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = [learn.sigmoid(a * net.forward(features(b).astype(np.float64))[0] + c) for b in blocks(x.column(text_col))]
+            s = [learn.sigmoid(net.forward(features(b).astype(np.float64))[0]) for b in blocks(x.column(text_col))]
             if s:
                 yield x.filter(pa.array(np.concatenate(s) >= THRESHOLD))
 
