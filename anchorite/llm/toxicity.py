@@ -4,8 +4,8 @@ The lexicon is learnt from labelled documents of the training folds: words far
 likelier in toxic ones. Its trie and the automata of edit distance 1 (a swap of
 neighbours counts as one edit) are intersected state by state into one
 deterministic automaton, which all words of a block run through in lockstep. A
-window of words around each hit tells quotation from abuse: quotation marks
-around the hit discount it. A logistic model over the hits' weights scores the
+window of words around each hit tells quotation from abuse: a hit between an
+opening and a closing mark of one kind, both within its window, is discounted. A logistic model over the hits' weights scores the
 document.
 """
 
@@ -27,8 +27,11 @@ from .textvec import SPACE, Block, blocks, per_row
 
 #: Bound on labelled documents that the lexicon and the model are fitted to.
 MAX_LABELLED = 20_000
-MAX_TERMS = 400
-MIN_TOXIC, MIN_LOG_ODDS, MIN_LENGTH = 3, 2.0, 4
+#: A term is in so many toxic documents at least, so much likelier there, and has two letters or more; one of fewer than
+#: five letters matches exactly alone.
+MIN_TOXIC, MIN_LOG_ODDS, MIN_LENGTH = 3, 2.0, 2
+#: Least log-likelihood ratio of a term: one word in a hundred without bearing reaches it.
+MIN_RATIO = 6.63
 PARTS, HELD = 3, 1
 THRESHOLD = 0.7
 WINDOW = 6
@@ -37,7 +40,8 @@ QUOTED = 0.25
 #: Bytes of an automaton's full table; a larger one (scripts of many letters) is searched by its moves instead.
 MAX_TABLE = 32 << 20
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_hits long, n_fuzzy long, n_quoted long"
-QUOTES = "\"“”„«»‘’"
+#: Quotation marks by kind: those that open and those that close.
+QUOTES = (('"', '"'), ("“„", "“”"), ("«»", "«»"), ("‘‚", "‘’"), ("「", "」"), ("『", "』"))
 
 #: No code point from here on is a letter or has a lower-case form.
 TOP = 0x32400
@@ -196,20 +200,57 @@ def words(b: Block):
     return cp, s[full], e[full], row[full], start[full], end[full]
 
 
+def quotations(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Opening and closing places of quotations: neighbouring marks of one kind in one row, the first of which may open and the second close.
+
+    Equal marks take turns; one between two letters is an apostrophe.
+    """
+    known = _LETTER[np.minimum(cp, TOP - 1)]
+    pad = np.concatenate(([False], known, [False]))
+    inner = pad[:-2] & pad[2:]
+    opens, closes = [], []
+    for first, last in QUOTES:
+        at = np.flatnonzero(np.isin(cp, [ord(c) for c in {*first, *last}]) & ~inner)
+        if len(at) < 2:
+            continue
+        row = np.searchsorted(off, at, "right")
+        if first == last and len(first) == 1:
+            nth = np.arange(len(at)) - np.searchsorted(row, row)
+            good = nth[:-1] % 2 == 0
+        else:
+            good = np.isin(cp[at[:-1]], [ord(c) for c in first]) & np.isin(cp[at[1:]], [ord(c) for c in last]) & ((cp[at[:-1]] != cp[at[1:]]) | (first == last))
+            # A mark that closes one quotation opens no other.
+            for i in np.flatnonzero(good[1:] & good[:-1]) + 1:
+                good[i] = not good[i - 1]
+        good &= row[:-1] == row[1:]
+        opens.append(at[:-1][good])
+        closes.append(at[1:][good])
+    o, c = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (opens, closes))
+    order = np.argsort(o, kind="stable")
+    return o[order], c[order]
+
+
 def hits(b: Block, automaton: Automaton):
-    """Rows, terms, edits and quotation marks of all hits of a block; words of each row."""
+    """Rows, terms, edits and quotation of all hits of a block; words of each row."""
     cp, s, e, row, s0, e0 = words(b)
     term, edits = automaton.run(cp, s, e)
     at = np.flatnonzero(term >= 0)
-    mark = np.concatenate(([0], np.cumsum(np.isin(cp, [ord(c) for c in QUOTES]))))
     first = np.searchsorted(row, np.arange(b.n + 1))
     lo, hi = np.maximum(at - WINDOW, first[row[at]]), np.minimum(at + WINDOW, first[row[at] + 1] - 1)
-    before, after = mark[s[at]] - mark[s0[lo]], mark[e0[hi]] - mark[e[at]]
-    return row[at], term[at], edits[at], (before > 0) & (after > 0), np.diff(first)
+    quoted = np.zeros(len(at), bool)
+    if len(at):
+        opens, closes = quotations(cp, np.searchsorted(np.flatnonzero((b.buf & 0xC0) != 0x80), b.off)[1:])
+        for i, (start, end, left, right) in enumerate(zip(s[at], e[at], s0[lo], e0[hi], strict=True)):
+            near = slice(np.searchsorted(opens, left), np.searchsorted(opens, start))
+            quoted[i] = bool(((closes[near] >= end) & (closes[near] < right)).any())
+    return row[at], term[at], edits[at], quoted, np.diff(first)
 
 
 def lexicon(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Terms and weights from labelled documents (column ``toxic``): at most MAX_TERMS, by log odds of document counts."""
+    """Terms and weights from labelled documents (column ``toxic``): words likelier in toxic ones beyond chance, by document counts.
+
+    No count of terms is set: the bounded sample bounds it.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -229,7 +270,12 @@ def lexicon(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     if not clean or not toxic:
         return [], np.zeros(0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = counts.where((F.col("word") != "") & (F.col("toxic") >= max(MIN_TOXIC, toxic // 250))).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("odds") * F.log("toxic")), "word").limit(MAX_TERMS).collect()
+    often = counts.where(F.col("word") != "")
+    seen, share = F.col("clean") + F.col("toxic"), toxic / (clean + toxic)
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), seen * share) + part(F.col("clean"), seen * (1 - share)))
+    rows = often.where(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).where((F.col("odds") >= MIN_LOG_ODDS) & (ratio >= MIN_RATIO)).collect()
+    rows.sort(key=lambda r: r[0])
     return [r[0] for r in rows], np.array([r[3] for r in rows])
 
 
@@ -289,7 +335,8 @@ class Model:
                     f, _ = features(b, automaton, exact, fuzzy)
                     yield frames.batch("y int, x binary", y[b.lo : b.lo + b.n], [r.tobytes() for r in f])
 
-        rows = docs.select("text", "toxic").mapInArrow(each, "y int, x binary").orderBy("y", "x").collect()
+        rows = docs.select("text", "toxic").mapInArrow(each, "y int, x binary").collect()
+        rows.sort()
         x, y = np.stack([np.frombuffer(r[1]) for r in rows]), np.array([r[0] for r in rows], float)
         if y.min() != y.max():
             self.weights = logistic(x, y)
