@@ -4,12 +4,13 @@ The gates and the candidate squash by x / (1 + |x|), which costs a fraction of a
 tanh. The network is trained in numpy by backpropagation through time on windows
 of labelled documents, and labels every byte position; a document's probability of
 a language is the mean over its letter positions. Texts are cut into windows
-that run in lockstep, each with fresh states on both sides, so a long text costs
-what many short ones do and no byte is left out.
+that run in lockstep, so a long text costs what many short ones do. Each window's
+states are carried in over the bytes before and after it, and no byte is left out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from . import frames, learn
 from .textvec import Block, blocks
 
-#: Bounds on labelled documents for each language, and on languages, that the network is fitted to.
-MAX_DOCS, MAX_LANGS = 300, 64
-HIDDEN, STEPS, TRAIN_WINDOW, BATCH = 6, 400, 48, 128
-WINDOW, LANES = 96, 2048
+#: Bound on labelled documents for each language that the network is fitted to, and windows from each of them.
+MAX_DOCS, DRAWS = 300, 64
+HIDDEN, STEPS, TRAIN_WINDOW, BATCH, RATE = 10, 400, 48, 128, 0.02
+#: Bytes of a window whose positions are labelled, and those read on each side of it before, so that no state starts fresh.
+WINDOW, WARM, LANES = 160, 16, 2048
 PARTS, HELD = 4, 2
 UNDETERMINED = "und"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -60,7 +62,7 @@ def run(p: dict, x: np.ndarray, keep: bool = False):
 def back(p: dict, x: np.ndarray, tape: list, dout: np.ndarray) -> dict:
     """Gradients through time of one direction, given those of the states."""
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    dh = np.zeros_like(dout[0])
+    dh, steps = np.zeros_like(dout[0]), np.empty((*x.shape, p["w"].shape[1]))
     for t in range(len(x) - 1, -1, -1):
         h, z, r, c, q = tape[t]
         dh = dh + dout[t]
@@ -69,10 +71,12 @@ def back(p: dict, x: np.ndarray, tape: list, dout: np.ndarray) -> dict:
         dr = dc * q * 0.25 * (1 - np.abs(2 * r - 1)) ** 2
         pre = np.concatenate((dz, dr, dc), 1)
         rec = np.concatenate((dz, dr, dc * r), 1)
-        np.add.at(g["w"], x[t], pre)
+        steps[t] = pre
         g["u"] += h.T @ rec
         g["d"] += (dc * r).sum(0)
         dh = dh * z + rec @ p["u"].T
+    for j in range(steps.shape[2]):
+        g["w"][:, j] = np.bincount(x.ravel(), steps[..., j].ravel(), len(g["w"]))
     return g
 
 
@@ -103,19 +107,17 @@ class Network:
         opt.step([g * min(1.0, 1.0 / max(norm, 1e-9)) for g in grads])
         return float(loss)
 
-    def fit(self, texts: list[bytes], y: np.ndarray, seed: int = 5) -> "Network":
+    def fit(self, windows: list[bytes], y: np.ndarray, seed: int = 5) -> "Network":
         rng = np.random.default_rng(seed)
-        opt = learn.Adam([*self.f.values(), *self.b.values(), self.v, self.o], 0.02)
+        opt = learn.Adam([*self.f.values(), *self.b.values(), self.v, self.o], RATE)
         of = [np.flatnonzero(y == k) for k in range(len(self.langs))]
         for i in range(STEPS):
             lang = rng.integers(0, len(self.langs), BATCH)
             x = np.full((TRAIN_WINDOW, BATCH), 32, np.uint8)
             for j, k in enumerate(lang):
-                t = texts[of[k][rng.integers(len(of[k]))]]
-                at = rng.integers(0, max(1, len(t) - TRAIN_WINDOW + 1))
-                w = np.frombuffer(t[at : at + TRAIN_WINDOW], np.uint8)
+                w = np.frombuffer(windows[of[k][rng.integers(len(of[k]))]], np.uint8)
                 x[: len(w), j] = w
-            opt.rate = 0.02 * (1 - i / STEPS) + 0.001
+            opt.rate = RATE * (1 - i / STEPS) + 0.0005
             self.loss_step(opt, x, lang)
         for p in (self.f, self.b):
             for name in p:
@@ -183,16 +185,15 @@ class Network:
         row = np.repeat(np.arange(b.n), count)
         start = b.off[:-1][row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
         stop = np.minimum(start + WINDOW, b.off[1:][row])
-        order = np.argsort(start - stop, kind="stable")  # the longest first
-        pad = np.concatenate((b.buf, np.full(WINDOW, 32, np.uint8)))
+        lo, hi = np.maximum(start - WARM, b.off[:-1][row]), np.minimum(stop + WARM, b.off[1:][row])
+        order = np.argsort(lo - hi, kind="stable")  # the longest first
+        pad = np.concatenate((b.buf, np.full(WINDOW + 2 * WARM, 32, np.uint8)))
         for i in range(0, len(order), LANES):
             lane = order[i : i + LANES]
-            width = int((stop[lane] - start[lane]).max())
-            at = start[lane] + np.arange(width)[:, None]
-            inside = at < stop[lane]
-            x = np.where(inside, pad[at], 32)
+            at = lo[lane] + np.arange(int((hi - lo)[lane].max()))[:, None]
+            x = np.where(at < hi[lane], pad[at], 32)
             p = self.label(x)
-            p *= (LETTER[x] & inside)[:, None, :]
+            p *= (LETTER[x] & (at >= start[lane]) & (at < stop[lane]))[:, None, :]
             np.add.at(total, row[lane], p.sum(0).T)
         return total / np.maximum(letters, 1)[:, None], letters
 
@@ -207,16 +208,32 @@ def has_letter(b: Block) -> np.ndarray:
     return sure
 
 
+def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """DRAWS windows from hashed places of each whole text, joined: (doc_id, lang, windows)."""
+    for x in batches:
+        out = []
+        for text in x.column("text").to_pylist():
+            t = text.encode()
+            last = max(1, len(t) - TRAIN_WINDOW + 1)
+            at = np.random.default_rng(zlib.crc32(t)).integers(0, last, DRAWS)
+            out.append(b"".join(t[i : i + TRAIN_WINDOW].ljust(TRAIN_WINDOW) for i in at))
+        yield frames.batch("doc_id long, lang string, windows binary", x.column("doc_id"), x.column("lang"), out)
+
+
 def trained(docs: DataFrame) -> Network | None:
-    """The network, from at most MAX_DOCS labelled documents a language of the training folds, the first in a hashed order."""
+    """The network, from windows of at most MAX_DOCS labelled documents a language of the training folds, the first in a hashed order.
+
+    Every language that has a label there is learnt. An id and language count once, however often their row is repeated.
+    """
     own = docs.where("text is not null and lang is not null and doc_id is not null").where(frames.fold("doc_id", PARTS) != HELD).where(F.col("text").rlike("\\p{L}"))
-    ids = own.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(frames.hashed_order("doc_id", 6), "doc_id"))).where(F.col("k") <= MAX_DOCS)
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
+    ids = own.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(frames.hashed_order("doc_id", 6), "doc_id"))).where(F.col("k") <= MAX_DOCS).select("doc_id", "lang")
+    few = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(drawn, "doc_id long, lang string, windows binary")
+    rows = sorted(few.groupBy("doc_id", "lang").agg(F.min("windows")).collect())
+    if not rows:
         return None
-    rows = own.join(F.broadcast(ids.where(F.col("lang").isin(langs)).select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).orderBy("doc_id", "lang", "text").collect()
-    langs = sorted(langs)
-    return Network(langs).fit([r[2].encode() for r in rows], np.array([langs.index(r[1]) for r in rows]))
+    langs = sorted({r[1] for r in rows})
+    windows = [bytes(r[2][i : i + TRAIN_WINDOW]) for r in rows for i in range(0, DRAWS * TRAIN_WINDOW, TRAIN_WINDOW)]
+    return Network(langs).fit(windows, np.repeat([langs.index(r[1]) for r in rows], DRAWS))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -224,9 +241,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
     every text where no labelled document trains a network. A null id is in no
-    held-out fold. Repeated rows give repeated rows. Learning reads the first
-    4,000 characters of its bounded sample; prediction reads whole texts. Other
-    columns are ignored.
+    held-out fold. Repeated rows give repeated rows. Learning draws
+    windows from all of its bounded sample's texts; prediction reads whole texts.
+    Other columns are ignored.
     """
     own = frames.only(docs, id_col, text_col)
     net = trained(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
