@@ -23,8 +23,10 @@ from .textvec import ALNUM, U, Block, blocks, grams, mix, per_row, view
 
 WINDOW = 10
 SHIFT_BITS = 16
-#: Bytes of benchmark text that one pass searches for; a larger benchmark takes several passes.
-PASS_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass over the documents searches for, in about a hundred times that memory; a larger
+#: benchmark takes several passes, each with its own tables alone. One item is never divided.
+PASS_BYTES = 2 << 20
+MARKED = "doc_id long, text string, n_words long, covered binary, items array<string>"
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -114,56 +116,91 @@ def search(b: Block, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, list[t
     return np.diff(first), per_row(row[np.cumsum(edge)[:-1] > 0], b.n), spans, items, np.cumsum(edge)[:-1] > 0
 
 
-def passes(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """Items in parts of at most PASS_BYTES of text: one part for a benchmark below that; each part is fetched alone."""
+def parts_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+    """Items in parts of about PASS_BYTES of text, one after the other: only one is on the driver at a time, and there is one at least."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // PASS_BYTES) + 1
-    return [[tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()] for k in range(n)]
+    for k in range(n):
+        yield [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each input row: words, hit words, items with occurring windows and their digest.
-
-    Null and empty texts have no words and no hits. Items without words, id or
-    text have no windows; item rows that share an id count as one item. Repeated
-    rows give repeated rows. An empty benchmark hits nothing. The digest of no
-    item is that of the empty string. Other columns are ignored.
-    """
-    own = frames.only(docs, id_col, text_col)
-    parts = [Patterns(x, window) for x in passes(benchmark, item_col, item_text)]
+def scanned(docs: DataFrame, patterns: Patterns, first: bool, last: bool) -> DataFrame:
+    """One pass: documents (doc_id, text) or what the pass before it left, with covered words and items; the last pass gives the result."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for b in blocks(x.column("text")):
-                names = [set() for _ in range(b.n)]
-                covered, n_words = None, None
-                for p in parts:
-                    n_words, _, _, items, c = search(b, p)
-                    covered = c if covered is None else covered | c
-                    for mine, found in zip(names, items, strict=True):
-                        mine.update(p.names[i] for i in found)
-                first = np.concatenate(([0], np.cumsum(n_words)))
+                ids = x.column("doc_id").slice(b.lo, b.n)
+                n_words, _, _, items, covered = search(b, patterns)
+                names = [{patterns.names[i] for i in found} for found in items]
+                at = np.concatenate(([0], np.cumsum(n_words)))
+                if not first:
+                    covered |= np.unpackbits(np.frombuffer(b"".join(x.column("covered").slice(b.lo, b.n).to_pylist()), np.uint8)).astype(bool)[kept_bits(n_words)]
+                    names = [mine | set(before) for mine, before in zip(names, x.column("items").slice(b.lo, b.n).to_pylist(), strict=True)]
+                if not last:
+                    bits = [np.packbits(covered[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                    yield frames.batch(MARKED, ids, x.column("text").slice(b.lo, b.n), n_words, bits, [sorted(s) for s in names])
+                    continue
                 total = np.concatenate(([0], np.cumsum(covered)))
-                hit = total[first[1:]] - total[first[:-1]]
+                hit = total[at[1:]] - total[at[:-1]]
                 digest = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in names]
-                yield frames.batch(OUT, x.column("doc_id").slice(b.lo, b.n), n_words, hit, [len(s) for s in names], digest, hit > 0)
+                yield frames.batch(OUT, ids, n_words, hit, [len(s) for s in names], digest, hit > 0)
+
+    return docs.mapInArrow(scan, OUT if last else MARKED)
+
+
+def kept_bits(n: np.ndarray) -> np.ndarray:
+    """Places of the rows' bits among whole bytes, n bits a row."""
+    start = np.cumsum(-(-n // 8)) * 8 - -(-n // 8) * 8
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
-    return own.mapInArrow(scan, OUT)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row for each input row: words, hit words, items with occurring windows and their digest.
+
+    Null and empty texts have no words and no hits. Items without words, id or
+    text have no windows; item rows that share an id count as one item. Repeated
+    rows give repeated rows. An empty benchmark hits nothing. The digest of no
+    item is that of the empty string. Other columns are ignored. Each pass but the
+    last writes the documents with what it found.
+    """
+    now, before, ahead = frames.only(docs, id_col, text_col), None, None
+    for part in parts_of(benchmark, item_col, item_text):
+        if ahead is not None:
+            now = frames.stored(scanned(now, Patterns(ahead, window), before is None, False), "marked")
+            if before is not None:
+                frames.release(before)
+            before = now
+        ahead = part
+    return scanned(now, Patterns(ahead, window), before is None, True)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The input's rows, all columns, whose texts hold no window of the benchmark."""
-    frames.ship(docs.sparkSession)
-    parts = [Patterns(x, window) for x in passes(benchmark, item_col, item_text)]
+    """The input's rows, all columns, whose texts hold no window of the benchmark; null and empty texts stay, repeated rows share their fate.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            clean = [~np.any([search(b, p)[1] > 0 for p in parts], axis=0) for b in blocks(x.column(text_col))]
-            if clean:
-                yield x.filter(pa.array(np.concatenate(clean)))
+    Items without words, id or text take nothing away, nor does an empty benchmark.
+    """
+    frames.ship(docs.sparkSession)
 
-    return docs.mapInArrow(keep, docs.schema)
+    def clean_of(rows: DataFrame, patterns: Patterns) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                clean = [search(b, patterns)[1] == 0 for b in blocks(x.column(text_col))]
+                if clean:
+                    yield x.filter(pa.array(np.concatenate(clean)))
+
+        return rows.mapInArrow(keep, rows.schema)
+
+    now, before, ahead = docs, None, None
+    for part in parts_of(benchmark, item_col, item_text):
+        if ahead is not None:
+            now = frames.stored(clean_of(now, Patterns(ahead, window)), "clean")
+            if before is not None:
+                frames.release(before)
+            before = now
+        ahead = part
+    return clean_of(now, Patterns(ahead, window))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
