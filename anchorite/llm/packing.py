@@ -24,8 +24,7 @@ from .tokens import Encoder
 TOKENIZER, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
 #: Pieces packed by one task.
 PART_PIECES = 20_000
-MAX_ROUNDS = 3
-#: Bins of a partition that the last round takes up again.
+#: Bins of a partition, the emptiest ones, that the last rounds take up again.
 LOOSE = 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", uid long, part long, bin long, offset long, room long, bins long, bound long, rank long"
@@ -118,32 +117,42 @@ def packed_by(loose: DataFrame, n: int, capacity: int, stage: int) -> DataFrame:
 
 
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-
-    A null text counts as empty: its one piece is the end id. Repeated rows are
-    packed each for itself; ids may be null. An empty input gives no rows. Other
-    columns are ignored.
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound.
+
+    bins is the number of sequences of the piece's partition and bound the certified
+    least one: where they are equal, no packing of that partition needs fewer.
+    Partitions with a gap exchange their documents in rounds until a round saves no
+    sequence; then the emptiest sequences of all partitions do so. A null text counts
+    as empty: its one piece is the end id. Repeated rows are packed each for itself;
+    ids may be null. An empty input gives no rows. Other columns are ignored.
     """
     own = frames.only(docs, id_col, text_col)
     all_pieces = frames.stored(pieces(own, tokenizer, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    full = all_pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    full = all_pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))
     loose = all_pieces.where(F.col("length") < capacity)
-    done, now = [], packed_by(loose, loose.count(), capacity, 0)
-    for stage in range(1, MAX_ROUNDS + 2):
-        gap = (F.col("bins") > F.col("bound")) if stage <= MAX_ROUNDS else (F.col("rank") < LOOSE)
-        again = gap & (F.col("room") > 0)
-        free = now.where(again)
-        n, before, where = free.agg(F.count("*"), F.countDistinct("bin"), F.countDistinct("part")).first()
-        if n == 0 or (where < 2 and now.where(~again).limit(1).count() == 0):
-            continue
-        packed = packed_by(free, n, capacity, stage)
-        if packed.select("bin").distinct().count() < before:
-            done.append(now.where(~again))
-            now = packed
+    done, now, stage = [], packed_by(loose, loose.count(), capacity, 0), 0
+    for take in (F.col("bins") > F.col("bound"), F.col("rank") < LOOSE):
+        saved = 1
+        while saved:
+            stage += 1
+            again = take & (F.col("room") > 0)
+            free = now.where(again)
+            n, before, where = free.agg(F.count("*"), F.countDistinct("bin"), F.countDistinct("part")).first()
+            # The same pieces in one partition would be packed the same way again.
+            if n == 0 or (where < 2 and now.where(~again).limit(1).count() == 0):
+                break
+            packed = packed_by(free, n, capacity, stage)
+            saved = before - packed.select("bin").distinct().count()
+            if saved > 0:
+                done.append(now.where(~again))
+                now = packed
+            else:
+                saved = 0
     out = now
     for d in done:
         out = out.unionByName(d)
-    return full.unionByName(out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"))
+    return full.unionByName(out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "bins", "bound"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
