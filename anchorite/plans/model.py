@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from . import tables_link
+
 TABLES: dict[str, str | tuple[str, str]] = {
     # Links of pages: the anchor text is the title.
     "anchors": (
@@ -69,6 +71,8 @@ TABLES: dict[str, str | tuple[str, str]] = {
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
 
+TABLES = tables_link.with_titles(TABLES)
+
 
 def sql(query: str, spark: bool) -> str:
     """A query with the model tables that it needs, for Spark or for the oracle."""
@@ -89,4 +93,6 @@ def sql(query: str, spark: bool) -> str:
     recursive = query.lstrip().upper().startswith("WITH RECURSIVE")
     if recursive:
         return f"WITH RECURSIVE {head}, {query.lstrip()[len('WITH RECURSIVE') :]}"
+    if query.lstrip().upper().startswith("WITH "):
+        return f"WITH {head}, {query.lstrip()[len('WITH ') :]}"
     return f"WITH {head} {query}"

@@ -46,3 +46,6 @@ def jointly_linked(run: Run, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"F4_stems": stems, "F9_title_likeness": title_likeness, "M7_long_entities": long_entity_counts, "R10_overlap_resolution": resolved, "N14_joint_linking": jointly_linked}
+
+#: SQL for code queries that it can express.
+ORACLES: dict[str, str] = {}

@@ -134,4 +134,4 @@ QUERIES: dict[str, str | tuple[str, str]] = {
 }
 
 #: The oracle's dialect has no LEFT ANTI JOIN ... ON by that name.
-ORACLE_WORDS = {" LEFT ANTI JOIN ": " ANTI JOIN ", "AS STRING)": "AS VARCHAR)"}
+ORACLE_WORDS = {" LEFT ANTI JOIN ": " ANTI JOIN ", " LEFT SEMI JOIN ": " SEMI JOIN ", "AS STRING)": "AS VARCHAR)"}

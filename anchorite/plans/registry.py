@@ -7,9 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model, queries_code, queries_sql
+from . import model, queries_code, queries_link, queries_sql
 
-INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings")
 
 
 def run_sql(spark: SparkSession, sf_dir: str, query: str | tuple[str, str]) -> DataFrame:
@@ -25,14 +25,19 @@ def _query(text: str | tuple[str, str]) -> Callable[[SparkSession, str], DataFra
     return lambda spark, sf_dir: run_sql(spark, sf_dir, text)
 
 
+def _texts() -> dict[str, str | tuple[str, str]]:
+    """All SQL queries; a later definition of an operator takes the place of an earlier one."""
+    return queries_sql.QUERIES | queries_link.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     code = {name: partial(q, run_sql) for name, q in queries_code.QUERIES.items()}
-    return {name: _query(text) for name, text in queries_sql.QUERIES.items()} | code
+    return {name: _query(text) for name, text in _texts().items()} | code
 
 
 def oracles() -> dict[str, str]:
-    out = {}
-    for name, text in queries_sql.QUERIES.items():
+    out = dict(queries_code.ORACLES)
+    for name, text in _texts().items():
         q = model.sql(text, spark=False)
         for a, b in queries_sql.ORACLE_WORDS.items():
             q = q.replace(a, b)
