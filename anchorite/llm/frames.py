@@ -21,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _SHIPPED: set[str] = set()
 
+#: Most rows and bytes of an Arrow batch: a worker's memory is a multiple of these, whatever the partition's size.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that their Python can import it."""
+    """Send this package to the executors, once for each application, so that their Python can import it; bound the batches they get."""
+    for name, most in ARROW.items():
+        now = str(spark.conf.get(name))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     if (app := spark.sparkContext.applicationId) not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
         spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/anchorite", "zip", root, "anchorite"))
@@ -42,11 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 
+#: Spark removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it again: lineage is cut and lost executors cost nothing.
+
+    The shuffle files of the write go with it, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames_: DataFrame) -> None:
+    """Delete stored frames that nothing reads any more: their successors are written."""
+    for df in frames_:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,7 +103,7 @@ def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 

@@ -16,12 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     are written to the shared folder after each round. An empty graph gives no rows.
     """
     both = frames.stored(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("v", "u"), "edges")
-    labels = frames.stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
+    last = frames.stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
     while True:
+        labels = last.select("v", "c")
         near = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
         least = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
         after = frames.stored(least.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
-        labels = after.select("v", "c")
+        frames.release(last)
+        last = after
         if after.where("old <> c").limit(1).count() == 0:
-            return labels
+            frames.release(both)
+            return after.select("v", "c")

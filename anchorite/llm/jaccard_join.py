@@ -4,9 +4,9 @@ Sets are distinct word shingles. Two sets of Jaccard similarity t or more share
 a token in their prefixes under any global order of tokens. The first order is
 by frequency class, then hash, so that prefixes hold rare tokens; the second and
 third are by independent hashes. Candidates come from the first order's
-prefixes, must also share prefix tokens under the other two, and only those that
-pass all filters are verified on their whole sets. Before texts are fetched, sizes
-of the sets' parts by hash bound each candidate's overlap from above.
+prefixes and must also share prefix tokens under the other two; sizes of the sets'
+parts by hash bound their overlaps from above. Only candidates that pass all of
+these filters have their texts fetched and are verified on their whole sets.
 
 Documents of equal sets are one node. Only what decides components is verified:
 each node is first held against the node that leads most of its tokens; then
@@ -42,7 +42,9 @@ FULL = 65535
 HELD_PAIRS = 1_000_000
 #: Pairs whose signatures are compared at a time.
 COMPARED = 8192
-#: Nodes up to which their documents are found by broadcast instead of by shuffle.
+#: Slices that the tokens of one first node are dealt to: a node of many tokens is no single task.
+SLICES = 16
+#: Rows of two numbers up to which a side is broadcast instead of shuffled.
 BROADCAST_NODES = 1_000_000
 
 
@@ -111,9 +113,20 @@ def place(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(len(r)) - (np.cumsum(n) - n)[r]
 
 
+def other_prefixes(k: np.ndarray, r: np.ndarray, n: np.ndarray, p: np.ndarray) -> list[list[bytes]]:
+    """Of each further order, the first p tokens of each row, ascending, as 32-bit numbers."""
+    out, first = [], np.concatenate(([0], np.cumsum(p)))
+    for salt in ORDERS:
+        o = mix(k ^ salt)
+        order = np.lexsort((o, r))
+        o = (o[order] >> U(32)).astype("<u4")[place(r, n) < p[r]]
+        out.append([o[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
+    return out
+
+
 def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node (64-bit digest of the set, null without shingles), prefix and size signature of each document."""
-    ddl = "doc_id long, n long, node long, prefix array<long>, sig binary"
+    """doc_id, key, n, node (64-bit digest of the set, null without shingles), prefixes and size signature of each row (doc_id, key, text)."""
+    ddl = "doc_id long, key long, n long, node long, prefix array<long>, sig binary, second binary, third binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -125,7 +138,8 @@ def nodes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> Dat
                 inside = place(r, n) < p[r]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(k[inside].view(np.int64)))
                 part = np.minimum(np.bincount(r * SIGNATURE + (k % U(SIGNATURE)).astype(np.int64), minlength=b.n * SIGNATURE), FULL).astype("<u2").reshape(b.n, SIGNATURE)
-                yield frames.batch(ddl, x.column("doc_id").slice(b.lo, b.n), n, node, lists, [v.tobytes() for v in part])
+                own = [x.column(c).slice(b.lo, b.n) for c in ("doc_id", "key")]
+                yield frames.batch(ddl, *own, n, node, lists, [v.tobytes() for v in part], *other_prefixes(k, r, n, p))
 
     return docs.mapInArrow(each, ddl)
 
@@ -148,26 +162,49 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIGNATURE)
 
 
-def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs whose parts' sizes allow the overlap that a link needs; sigs: (node, n, sig)."""
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a column of prefixes, and the row of each."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u4"), np.repeat(np.arange(len(rows)), [len(v) // 4 for v in rows])
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that share prefix tokens under all orders and whose parts' sizes allow the overlap that a link needs.
+
+    sets: node, n, sig, second, third. A token is held by 32 bits here, which lets some
+    pairs through that share none; none that shares one is lost.
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            most = most_shared(signatures(x.column("sa")), signatures(x.column("sb")))
-            ok = pa.array((100 + percent) * most >= percent * (np.asarray(x.column("na")) + np.asarray(x.column("nb"))))
-            yield frames.batch("a long, b long", x.column("a").filter(ok), x.column("b").filter(ok))
+            for lo in range(0, len(x), COMPARED):
+                y = x.slice(lo, COMPARED)
+                most = most_shared(signatures(y.column("sa")), signatures(y.column("sb")))
+                ok = (100 + percent) * most >= percent * (np.asarray(y.column("na")) + np.asarray(y.column("nb")))
+                for a, b in (("a2", "b2"), ("a3", "b3")):
+                    ka, ra = listed(y.column(a))
+                    kb, rb = listed(y.column(b))
+                    ok &= shared(*distinct32(ka, ra), *distinct32(kb, rb), len(y)) > 0
+                keep = pa.array(ok)
+                yield frames.batch("a long, b long", y.column("a").filter(keep), y.column("b").filter(keep))
+
+    both = pairs.join(sets.toDF("a", "na", "sa", "a2", "a3"), "a").join(sets.toDF("b", "nb", "sb", "b2", "b3"), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb", "a2", "b2", "a3", "b3").mapInArrow(bound, "a long, b long")
 
-    both = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
+
+def distinct32(k: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens without those that stand beside an equal one: prefixes are ascending within a row."""
+    new = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))[: len(k)]
+    return k[new], r[new]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): those that share prefix tokens under the other orders and whose sets are similar."""
+    """Links among candidate pairs (a, b) that passed the filters: those whose sets are similar."""
     pairs = frames.stored(pairs, "pairs")
-    needed = reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", F.col("doc_id").alias("rep"))
+    needed = reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "rep", "rep_key")
     needed = frames.stored(needed, "needed")
     small = needed.count() <= BROADCAST_NODES
-    texts = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    texts = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -182,21 +219,14 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, classes: np.nda
                     sides.append((np.concatenate(k), np.concatenate(r), np.concatenate(m)))
                 (ka, ra, na), (kb, rb, nb) = sides
                 good = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-                for salt in ORDERS:
-                    prefix = []
-                    for k, r, m in sides:
-                        o = mix(k ^ salt)
-                        order = np.lexsort((o, r))
-                        o, r = o[order], r[order]
-                        inside = (place(r, m) < prefix_size(m, percent)[r]) & good[r]
-                        prefix += [o[inside], r[inside]]
-                    good &= shared(*prefix, n) > 0
                 inter = shared(ka[good[ra]], ra[good[ra]], kb[good[rb]], rb[good[rb]], n)
                 ok = good & (100 * inter >= percent * (na + nb - inter))
                 yield frames.batch("a long, b long", part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok)))
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return frames.stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    out = frames.stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    frames.release(pairs, needed)
+    return out
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -247,32 +277,49 @@ def distinct_pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of each row of docs (doc_id, text), and (v, c) components of linked nodes."""
+    """(doc_id, key, n, node) of each row of docs (doc_id, key, text), and (v, c) components of linked nodes."""
     classes = sketch(docs, words)
-    own = frames.stored(nodes(docs, classes, words, percent), "nodes")
-    reps = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # One document stands for a node: joined by both columns, so that a node of many copies is no hot key.
-    r = reps.select(F.col("node").alias("rnode"), F.col("doc_id").alias("rep"))
-    one = own.where(F.col("n") >= least_size(percent)).join(r, (F.col("node") == F.col("rnode")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    sigs = frames.stored(one.select("node", "n", "sig").dropDuplicates(["node"]), "signatures")
+    wide = frames.stored(nodes(docs, classes, words, percent).withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    own = frames.stored(wide.select("doc_id", "key", "n", "node"), "own")
+    # One row stands for a node: joined by its own number, so that a node of many copies is no hot key.
+    reps = wide.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key", "uid")).alias("r"))
+    reps = frames.stored(reps.select("node", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.col("r.uid").alias("rep_uid")), "reps")
+    one = wide.where(F.col("n") >= least_size(percent)).join(reps.select("rep_uid"), F.col("uid") == F.col("rep_uid"))
+    one = frames.stored(one.select("node", "n", "prefix", "sig", "second", "third"), "sets")
+    frames.release(wide)
+    sets = one.select("node", "n", "sig", "second", "third")
     post = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Most tokens have one node: what is known of a token is counted after these are gone.
+    tokens = post.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
+    post = frames.stored(post.join(tokens, "token"), "post")
     rank = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("node", 32)
-    tokens = post.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.min_by("node", rank).alias("lead"), F.min_by("n", rank).alias("lead_n"))
-    post = frames.stored(post.join(tokens.where("least <> most").drop("least", "most"), "token"), "post")
+    lead = post.groupBy("token").agg(F.min_by(F.struct("node", "n"), rank).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
     near = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    first = post.where((F.col("node") != F.col("lead")) & near).groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("lead", "k").alias("lead"))
-    found = verified(plausible(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), sigs, percent), docs, reps, classes, words, percent)
+    first = post.join(lead, "token").where((F.col("node") != F.col("lead")) & near).groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("lead", "k").alias("lead"))
+    found = verified(plausible(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), sets, percent), docs, reps, classes, words, percent)
     comp = components(found)
-    rest = post.join(comp.toDF("node", "c"), "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
-    rest = frames.stored(rest, "rest")
+    rest = frames.stored(post.join(comp.toDF("node", "c"), "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp")), "rest")
+    frames.release(post)
     mixed = rest.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("token", "first", F.ceil(F.col("size") / GROUP).alias("parts"))
     # Signatures travel with the rows of mixed tokens, not with the pairs, which grow with the square of a token's group.
-    rows = rest.join(mixed, "token").join(sigs.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("first", "token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own", "sig")
-    # Tokens of the same passage mostly have the same first node: together, they give a pair once.
-    second = rows.repartition("first", "bi", "bj").sortWithinPartitions("first", "bi", "bj", "token").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct()
-    more = verified(second, docs, reps, classes, words, percent)
-    return own.select("doc_id", "n", "node"), components(found.union(more))
+    rows = rest.join(mixed, "token").join(sets.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("first", F.pmod(F.xxhash64("token"), F.lit(SLICES)).alias("slice"), "token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "own", "sig")
+    # Tokens of the same passage mostly have the same first node: together, they give a pair once for each slice.
+    deal = ("first", "slice", "bi", "bj")
+    second = frames.stored(rows.repartition(*deal).sortWithinPartitions(*deal, "token").mapInArrow(lambda it: block_pairs(it, percent), "a long, b long").distinct(), "second")
+    frames.release(rest)
+    more = verified(plausible(second, sets, percent), docs, reps, classes, words, percent)
+    frames.release(one, second, reps)
+    return own, components(found.union(more))
+
+
+def components_of(own: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, key, n, node and component_id (null without shingles) of each row of own (doc_id, text); key: its text's hash."""
+    each, comp = links(own.withColumn("key", F.xxhash64("text")), words, percent)
+    ids = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    ids = ids.join(comp.toDF("node", "c"), "node", "left").select("node", "least", F.coalesce("c", "node").alias("c"))
+    ids = ids.join(ids.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("node", "c", "component_id")
+    return each.join(ids, "node", "left")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,19 +331,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held as 59-bit hashes and nodes as 64-bit digests of them. Other columns are ignored.
     """
     own = frames.only(docs, id_col, text_col)
-    each, comp = links(own, words, percent)
-    ids = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(comp.toDF("node", "c"), "node", "left").select("node", "least", F.coalesce("c", "node").alias("c"))
-    ids = ids.join(ids.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("node", "component_id")
-    return each.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return components_of(own, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows, all columns, that stand for their component: those of its smallest doc_id, repeated rows once. Rows with a null id stay."""
-    gone = jaccard_join(docs, id_col, text_col, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    # The anti-join has dealt rows by id, so this needs no further exchange.
-    return kept.dropDuplicates([id_col, text_col])
+    """The input's rows, all columns, that stand for their component: one for each.
+
+    That is the row of the smallest id (a null id is the largest) and, among texts of
+    that id, of the smallest text hash; a row repeated in id and text stays once. Rows
+    are told apart by id and text together, so an id on two texts loses neither unless
+    they are linked. Null, empty and blank texts are linked with nothing and stay. Other
+    columns pass through, whatever their names; an empty input gives no rows.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    each = frames.stored(components_of(frames.only(docs, id_col, text_col), words, percent), "components")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    stays = each.where("c is not null").groupBy("c").agg(F.min(at).alias("stays"))
+    other = (F.col("stays.key") != F.col("key")) | ~F.col("stays.doc_id").eqNullSafe(F.col("doc_id"))
+    gone = frames.stored(each.join(stays, "c").where(other).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_NODES
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (key == F.col("__gone_key"))
+    kept = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    # Texts are dealt out only where some row is repeated.
+    repeated = each.groupBy("doc_id", "key").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator on edge cases (nulls, empty, repeated rows, empty tables, clashing columns) and against brute force."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -8,9 +9,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("anchorite.llm")
-from anchorite.llm import decontamination, jaccard_join, language, packing, pii, quality_classifier, quality_rules, sharding, token_files, toxicity  # noqa: E402
+from anchorite.llm import decontamination, jaccard_join, language, learn, packing, pii, quality_classifier, quality_rules, sharding, token_files, toxicity  # noqa: E402
 from anchorite.llm.textvec import blocks  # noqa: E402
 from anchorite.llm.tokens import Encoder  # noqa: E402
 
@@ -114,9 +116,13 @@ def test_network_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[at] * max(1.0, 1 / scale if scale < 1 else 1.0), rel=1e-3)
 
 
+def pseudonymise(df):
+    return pii.pseudonymise(df, "a key for tests")
+
+
 def test_surrogates(spark, docs, empty):
     texts = ["Write Ann.Lee@Mail.org or +1 (017) 555-7713, card 4068516892505468.", "ANN.LEE@MAIL.ORG has 4068-5168-9250-5468 at 97.51.17.173", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" Mrs. Anna Schmidt and Mr. Karl Schmidt', None, "", "clean 3.0 text"]
-    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
     assert out[3:] == texts[3:]
     for secret in ("Ann.Lee", "555-7713", "4068516892505468", "97.51", "b44e15", "Anna Schmidt", "Karl Schmidt"):
         assert all(secret.lower() not in (t or "").lower() for t in out)
@@ -124,10 +130,10 @@ def test_surrogates(spark, docs, empty):
     assert mail.upper() in out[1] and re.search(r"\d{16}", out[0])[0] == re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", out[1])[0].replace("-", "")
     assert re.search(r"Mrs\. [A-Z]\w+ [A-Z]\w+ and Mr\. [A-Z]\w+ [A-Z]", out[2])
     many = [(i, f"u{i}@a.io {10**15 + i} 10.0.{i % 250}.{i // 250}") for i in range(600)]
-    got = [r.text.split() for r in pii.pseudonymise(spark.createDataFrame(many, "doc_id long, text string")).collect()]
+    got = [r.text.split() for r in pseudonymise(spark.createDataFrame(many, "doc_id long, text string")).collect()]
     assert all(len({g[k] for g in got}) == 600 for k in range(3))
-    full = pii.pseudonymise(docs)
-    assert full.count() == len(ROWS) and full.columns[: len(docs.columns)] == docs.columns and pii.pseudonymise(empty).count() == 0
+    full = pseudonymise(docs)
+    assert full.count() == len(ROWS) and full.columns[: len(docs.columns)] == docs.columns and pseudonymise(empty).count() == 0
 
 
 def test_surrogates_of_long_secrets_and_short_addresses(spark):
@@ -135,7 +141,7 @@ def test_surrogates_of_long_secrets_and_short_addresses(spark):
     long = {n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 129, 256, 20000)}
     word = "".join(rng.choice("ABCxyz0189") for _ in range(160))
     texts = [f"key {long[32]} {long[129]} {long[256].upper()} end", f"x {long[20000]} y", f"password: {word}, sk-{word} ghp_{word}.", "token=headhead.payload.signature. Then", f"api_key='{long[32][:20]}.abc-def.{word}'", "at 2001:db8::1, 2001:0DB8:0:0:0:0:0:1 or ::1 and fe80:: via ::ffff:192.0.2.77.", "vec std::sort :: and 2001:db8:1::, sk-abcdefghijklmnopqrst dead::beef"]
-    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
     for secret in (*long.values(), word, long[256].upper(), "headhead", "payload", "signature", "abc-def", "db8::1", "DB8:0", "::1 ", "fe80::", "192.0.2", "abcdefghijklmnopqrst", "dead::"):
         assert all(secret not in t for t in out), secret
     assert [len(w) for w in out[0].split()] == [len(w) for w in texts[0].split()] and len(out[1]) == len(texts[1])
@@ -147,7 +153,7 @@ def test_surrogates_of_long_secrets_and_short_addresses(spark):
 
 def test_surrogates_of_one_entity_in_many_forms(spark):
     texts = ["Call +1 (555) 123-4567 or +15551234567.", "Dr Anna Weber came. Anna Weber spoke; Weber left, Webern did not.", "Frau Anna Weber", "Mr McDonald and Ms O'Brien: McDonald, O'Brien", "again +15551234567", "Weber alone"]
-    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()]
     a, b = re.fullmatch(r"Call (.*) or (.*)\.", out[0]).groups()
     assert re.sub(r"[^0-9+]", "", a) == b == out[4].split()[1] and b.startswith("+1") and "5551234567" not in b
     given, name, *rest = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) (\w+) spoke; (\w+) left, Webern did not\.", out[1]).groups()
@@ -157,6 +163,37 @@ def test_surrogates_of_one_entity_in_many_forms(spark):
     assert out[5] == texts[5]
 
 
+def test_surrogates_keep_parts_and_tell_secrets_apart(spark):
+    texts = ["Mrs. Anna Maria Schmidt-Klein met Mr. Jean-Paul Roy; Schmidt-Klein left", "token=AbCdEfGh12 token=aBcDeFgH12 token=AbCdEfGh12", "Dr. Anna Schmidt, Mrs. Anna Schmidt, Mrs. Schmidt"]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    a, b, last, c, d, e, again = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+-[A-Z]\w+) met Mr\. ([A-Z]\w+)-([A-Z]\w+) (\w+); (\S+) left", out[0]).groups()
+    assert again == last and {a, b} <= set(pii.GIVEN["f", "latin"]) and {c, d} <= set(pii.GIVEN["m", "latin"])
+    x, y, z = (t.split("=")[1] for t in out[1].split())
+    assert x == z and x.lower() != y.lower() and x[0].isupper() and y[1].isupper()
+    one, two, three = out[2].split(", ")
+    assert one[4:] == two[5:] and three == "Mrs. " + two.split()[-1]
+
+
+def test_surrogates_are_distinct_and_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"{t} {g} {f}" for t in ("Mr.", "Frau") for g in ("Xaver", "Yorick", "Zoe") for f in ("Abel", "Bender", "Corvin", "Dorn")]
+    found = [*(f"user{i}@host{i % 7}.org" for i in range(60)), *(f"+44 20 7946 {i:04}" for i in range(60)), *(f"10.1.{i}.7" for i in range(60)), *(f"4{i:015}" for i in range(60)), *names]
+    # Few digits of a digest: many surrogates meet and are drawn again.
+    monkeypatch.setattr(pii, "byte", lambda digest, i, real=pii.byte: F.pmod(real(digest, i), F.lit(5)))
+    docs = [(i, rng.choice(found)) for i in range(1500)]
+    out = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    to = collections.defaultdict(set)
+    for i, raw in docs:
+        to[raw.split(" ", 1)[1] if raw in names else raw].add(out[i].split(" ", 1)[1] if raw in names else out[i])
+    assert all(len(v) == 1 for v in to.values())
+    every = [min(v) for v in to.values()]
+    assert len(set(every)) == len(every) and not set(every) & set(to)
+    monkeypatch.setattr(pii, "MAX_DRAWS", 1)
+    monkeypatch.setattr(pii, "byte", lambda digest, i: F.lit(1))
+    with pytest.raises(RuntimeError, match="no distinct surrogate"):
+        pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"))
+
+
 def test_toxicity(spark, docs, labels, empty):
     rows = [(i, prose(30) + (" you moron worthless clown " if i % 4 == 0 else " ") + prose(10), int(i % 4 == 0)) for i in range(300)]
     extra = [(1000, prose(20) + " you mor0n wrthless clown " + prose(5), 1), (1001, None, 0), (1002, "", 0)]
@@ -224,6 +261,40 @@ def counts(t):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
 
 
+def test_quotations():
+    term = ["moron"]
+    automaton = toxicity.Automaton(term)
+
+    def quoted(text):
+        (b,) = blocks(pa.array([text], pa.string()))
+        return toxicity.hits(b, automaton)[3].tolist()
+
+    assert quoted("you’re a moron, aren’t you") == [False]
+    assert quoted('"hi" you moron "bye"') == [False]
+    assert quoted('he said "you moron" to me') == [True]
+    assert quoted("„du moron“ und moron “you moron” «moron» »moron« ‘a moron’") == [True, False, True, True, True, True]
+    assert quoted('moron "a b c d e f g h moron i j"') == [False, False]
+    (b,) = blocks(pa.array(['say "', 'moron" ', None, '"moron"'], pa.string()))
+    assert toxicity.hits(b, automaton)[3].tolist() == [False, True]
+
+
+def test_repeated_training_rows_count_once(spark):
+    rows = [(i % 20, f"text {'moron ' if i % 20 < 10 else 'calm '} number") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    assert learn.rows_of(frame, ids).count() == 20
+
+
+def test_prior_of_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.6, 0.85):
+        xp = rng.normal(2, 1, (1500, 3))
+        xu = np.where(rng.random((4000, 1)) < share, rng.normal(2, 1, (4000, 3)), rng.normal(-2, 1, (4000, 3)))
+        net, prior = quality_classifier.fit(xp, xu, None)
+        assert abs(prior - share) < 0.08
+        assert (learn.sigmoid(net.forward(rng.normal(-2, 1, (300, 3)))[0]) < 0.5).mean() > 0.95
+
+
 def test_quality_rules(spark, docs, labels, empty):
     alpha = ["a", "bé", "#", "\n", "\n", " ", "c|d", "x", "\t"]
     extra = [(100 + i, "".join(RNG.choice(alpha) + RNG.choice(["", " "]) for _ in range(RNG.randrange(0, 90))), "en", "s", 1, "u", "t") for i in range(60)]
@@ -303,6 +374,46 @@ def test_decontamination(docs, benchmark, empty):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_in_passes(docs, benchmark, empty, monkeypatch):
+    whole = sorted(map(repr, decontamination.decontaminate(docs, benchmark).collect()))
+    clean = sorted(map(repr, decontamination.drop_contaminated(docs, benchmark).collect()))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = {str(r[0]): split(r[1]) for r in benchmark.collect()}
+    for row in decontamination.decontaminate(docs, benchmark).collect():
+        texts = [split(r[1]) for r in ROWS if r[0] == row.doc_id]
+        found = [sorted(k for k, v in items.items() if v and any(w[i : i + min(10, len(v))] == v[j : j + min(10, len(v))] for i in range(len(w)) for j in range(len(v) - min(10, len(v)) + 1))) for w in texts]
+        assert row.items_sha256 in {hashlib.sha256(",".join(f).encode()).hexdigest() for f in found}
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 20)
+    assert len(list(decontamination.parts_of(benchmark, "item_id", "text"))) > 2
+    assert sorted(map(repr, decontamination.decontaminate(docs, benchmark).collect())) == whole
+    assert sorted(map(repr, decontamination.drop_contaminated(docs, benchmark).collect())) == clean
+    assert 0 < len(clean) < len(ROWS) and decontamination.drop_contaminated(empty, benchmark).count() == 0
+
+
+def test_pieces_against_brute_force(spark):
+    texts = [None, "", "a b c", prose(900), prose(63), prose(64), "x " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tk = Encoder.of(packing.TOKENIZER).tokenizer
+    want = set()
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        cuts = [0, len(ids)] if len(ids) <= 64 else sorted({0, len(ids), *range(len(ids), 0, -64)})
+        for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            want.add((i, k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())))
+    rows = packing.best_fit_packing(docs, capacity=64).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    assert all(r.bins >= r.bound > 0 for r in rows)
+
+
+def test_packing_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 40)
+    docs = spark.createDataFrame([(i, prose(3 + i * 7 % 41)) for i in range(400)], "doc_id long, text string")
+    rows = packing.best_fit_packing(docs, capacity=64).collect()
+    length = np.array([r.length for r in rows])
+    used, bound = len({r.sequence_id for r in rows}), packing.lower_bound(length, 64)
+    assert bound <= used <= 1.03 * bound + 1
+
+
 def test_packing(docs, empty):
     rows = packing.best_fit_packing(docs, capacity=64).collect()
     tk = Encoder.of(packing.TOKENIZER).tokenizer
@@ -355,3 +466,34 @@ def test_block_pairs_across_batches():
     for step in (7, 40, 120):
         out = [x.to_pydict() for x in jaccard_join.block_pairs(iter([batch.slice(k, step) for k in range(0, 120, step)]), 85)]
         assert {p for x in out for p in zip(x["a"], x["b"])} == want
+
+
+def test_one_of_each_decides_by_row(spark, empty):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "other")
+    rows = [(1, base), (2, near), (2, "all alone here on the same id"), (3, base), (3, base), (None, base), (None, "no id at all"), (None, "no id at all"), (4, ""), (4, ""), (5, None), (6, " ")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([(1, base), (2, "all alone here on the same id"), (None, "no id at all"), (4, ""), (5, None), (6, " ")])
+    assert jaccard_join.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_against_brute_force(spark):
+    def words(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(4, 40))) for _ in range(25)]
+    for _ in range(60):
+        w = rng.choice(texts).split()
+        w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    sets = [words(t) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    want = {min(i for i in range(len(texts)) if comp[i] == c) for c in set(comp)}
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, key long")
+    assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == want
