@@ -23,7 +23,8 @@ from .textvec import Block, blocks
 
 #: Bound on labelled documents for each language that the network is fitted to, and windows from each of them.
 MAX_DOCS, DRAWS = 300, 64
-HIDDEN, STEPS, TRAIN_WINDOW, BATCH, RATE = 10, 400, 48, 128, 0.02
+SLICES = 64
+HIDDEN, STEPS, TRAIN_WINDOW, BATCH, RATE = 6, 400, 48, 128, 0.02
 #: Bytes of a window whose positions are labelled, and those read on each side of it before, so that no state starts fresh.
 WINDOW, WARM, LANES = 160, 16, 2048
 PARTS, HELD = 4, 2
@@ -226,7 +227,11 @@ def trained(docs: DataFrame) -> Network | None:
     Every language that has a label there is learnt. An id and language count once, however often their row is repeated.
     """
     own = docs.where("text is not null and lang is not null and doc_id is not null").where(frames.fold("doc_id", PARTS) != HELD).where(F.col("text").rlike("\\p{L}"))
-    ids = own.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(frames.hashed_order("doc_id", 6), "doc_id"))).where(F.col("k") <= MAX_DOCS).select("doc_id", "lang")
+    ids, order = own.select("doc_id", "lang").distinct().withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))), (frames.hashed_order("doc_id", 6), "doc_id")
+    # First within slices, so that a language of most documents is no single task.
+    for part in (["lang", "slice"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("k") <= MAX_DOCS).drop("k")
+    ids = ids.drop("slice")
     few = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(drawn, "doc_id long, lang string, windows binary")
     rows = sorted(few.groupBy("doc_id", "lang").agg(F.min("windows")).collect())
     if not rows:
