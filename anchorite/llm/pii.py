@@ -68,7 +68,7 @@ def hint(text: Column) -> Column:
         | text.rlike(r"[\-_](?<=(?:[spr]k|gh[pos])[\-_])")
         | ((text.contains(":") | text.contains("=")) & text.rlike(keyed))
         | text.rlike(rf"(?=[{initials}]){TITLE}\p{{Lu}}")
-        | text.rlike("[A-Fa-f]{32}")
+        | text.rlike(r"[A-Fa-f]{32}|(?:[A-Fa-f]{1,4}[:\-]){5}|A[KS]IA[A-Z]{16}")
     )
 
 
