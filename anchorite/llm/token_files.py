@@ -4,10 +4,12 @@ A block holds a fixed number of ids. Each id is four nibbles; for each nibble,
 adaptive distributions of order 0 (the nibbles before it), order 1 (and the id
 before) and order 2 (and the two before) are mixed by weights that follow their
 success, and the mixture drives a range coder. Models start anew with each block,
-and a block carries the checksum of its ids. Blocks are coded side by side: one
-numpy pass moves all blocks of a group by one nibble.
+and a block carries the checksum of its ids. Spark's rows are coded in the JVM, one
+block after the other (TokenBlocks.java); ``write_blocks`` and ``read_blocks`` do the
+same, byte for byte, without Spark, side by side: one numpy pass moves all blocks of
+a group by one nibble.
 
-Block layout, little-endian: magic ``AMX1``, number of ids u32, number of
+Block layout, little-endian: magic ``AMX2``, number of ids u32, number of
 documents u32, crc32 of the ids u32, place of the first id in the file u64,
 length of the code u32; per document its id i64 (with a mark byte, 0 for a null
 id), serial number in the file u64, place of its first id here within it u64, and
@@ -17,28 +19,35 @@ ids here u32; then the code.
 from __future__ import annotations
 
 import functools
+import pkgutil
 import struct
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from . import frames
 from .textvec import blocks
 from .tokens import Encoder
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-BLOCK_IDS, LANES = 4096, 768
-MAGIC = b"AMX1"
+#: Ids of a block, and blocks that a task holds until they are passed on.
+BLOCK_IDS, HELD = 4096, 256
+MAGIC = b"AMX2"
 HEAD, DOC = struct.Struct("<4sIIIQI"), struct.Struct("<BqQQI")
 BLOCK = "file int, block int, data binary"
-PART = "file int, doc long, doc_id long, start long, part long, n long, crc long"
+PART = "doc long, doc_id long, start long, part long, n long, crc long"
+#: What the JVM's two functions return.
+CODER = {"Pack": "binary", "Unpack": f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>"}
 
-_TOTAL, _RATE, _SLOTS = 15, 4, 11
+_TOTAL, _RATE, _SLOTS, _LEAST = 15, 4, 11, 1024
 _NODES = 1 + 16 + 256 + 4096
 _BASE = (0, 1, 17, 273)
 _TARGET = np.array([[k + 1 if k < s else (1 << _TOTAL) - (15 - k) for k in range(16)] for s in range(16)], np.uint16)
@@ -80,10 +89,9 @@ class Mixer:
         w = self.weights[j, :, :n]
         seen = np.stack([p[rows, symbol].astype(np.int64) - np.where(symbol > 0, p[rows, symbol - 1], 0) for p in parts])
         credit = w * seen
-        credit = (credit << 16) // credit.sum(0)
-        w += (credit - w) >> 4
-        np.clip(w, 1024, 65536, out=w)
-        w[1:] = (w[1:] << 16) // w.sum(0)
+        # Shares of at least _LEAST keep all weights at or above it.
+        share = _LEAST + credit[1:] * (65536 - 3 * _LEAST) // credit.sum(0)
+        w[1:] += (share - w[1:]) >> 4
         w[0] = 65536 - w[1] - w[2]
         target = _TARGET[symbol]
         for t, i, p in zip(self.tables, at, parts, strict=True):
@@ -192,16 +200,16 @@ def decode_lanes(codes: list[bytes], size: np.ndarray) -> list[np.ndarray]:
     return [grid[:s, k].astype("<u4") for k, s in enumerate(size)]
 
 
+def _block(ids: np.ndarray, at: int, docs: list[tuple], code: bytes) -> bytes:
+    table = b"".join(DOC.pack(d is not None, d or 0, *rest) for d, *rest in docs)
+    return HEAD.pack(MAGIC, len(ids), len(docs), zlib.crc32(ids.astype("<u4").tobytes()), at, len(code)) + table + code
+
+
 def write_blocks(groups: list[tuple[np.ndarray, int, list[tuple]]]) -> list[bytes]:
     """Blocks of (ids, place in the file, documents), in the given order."""
     order = sorted(range(len(groups)), key=lambda k: -len(groups[k][0]))
     codes = dict(zip(order, encode_lanes([groups[k][0] for k in order]), strict=True))
-    out = []
-    for k, (ids, at, docs) in enumerate(groups):
-        ids = ids.astype("<u4")
-        table = b"".join(DOC.pack(d is not None, d or 0, *rest) for d, *rest in docs)
-        out.append(HEAD.pack(MAGIC, len(ids), len(docs), zlib.crc32(ids.tobytes()), at, len(codes[k])) + table + codes[k])
-    return out
+    return [_block(ids, at, docs, codes[k]) for k, (ids, at, docs) in enumerate(groups)]
 
 
 def read_blocks(data: list[bytes]) -> list[tuple[np.ndarray, int, list[tuple]]]:
@@ -223,6 +231,29 @@ def read_blocks(data: list[bytes]) -> list[tuple[np.ndarray, int, list[tuple]]]:
     return [(ids[k], h[2], h[3]) for k, h in enumerate(heads)]
 
 
+_CODERS: dict[str, dict] = {}
+
+
+def coder(spark: SparkSession, name: str, column: str) -> Column:
+    """What the JVM's function ``name`` makes of a column of blocks.
+
+    Once for each application the coder is compiled, by the compiler that Spark has
+    for its own plans, and sent to the executors.
+    """
+    if (app := spark.sparkContext.applicationId) not in _CODERS:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(pkgutil.get_data(__package__, "TokenBlocks.java").decode())
+        jar = f"{tempfile.mkdtemp()}/token-blocks.jar"
+        with zipfile.ZipFile(jar, "w") as z:
+            for path, code in compiler.getBytecodes().items():
+                z.writestr(f"{path.replace('.', '/')}.class", bytes(code))
+        spark.sparkContext._jsc.addJar(jar)
+        _CODERS[app] = {x: compiler.getClassLoader().loadClass(f"anchorite.llm.TokenBlocks${x}").newInstance() for x in CODER}
+    session, function = spark._jsparkSession, f"token_blocks_{name.lower()}"
+    session.udf().register(function, _CODERS[app][name], session.parseDataType(_parse_datatype_string(CODER[name]).json()))
+    return F.call_function(function, column)
+
+
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """Blocks (file, block, data) of the token ids of all documents in ascending doc_id order, stored in the shared folder.
 
@@ -246,7 +277,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
         def flush() -> pa.RecordBatch:
             nonlocal number, groups
-            data = write_blocks(groups)
+            data = [_block(ids, at, docs, ids.astype("<u4").tobytes()) for ids, at, docs in groups]
             numbers = range(number, number + len(data))
             number, groups = number + len(data), []
             return frames.batch(BLOCK, [file] * len(data), numbers, data)
@@ -266,14 +297,15 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                         if held == BLOCK_IDS:
                             close()
                     serial += 1
-                if len(groups) >= LANES:
+                if len(groups) >= HELD:
                     yield flush()
         if held:
             close()
         if groups:
             yield flush()
 
-    return frames.stored(own.select("doc_id", "text").mapInArrow(each, BLOCK), "token-files")
+    plain = own.select("doc_id", "text").mapInArrow(each, BLOCK)
+    return frames.stored(plain.withColumn("data", coder(docs.sparkSession, "Pack", "data")), "token-files")
 
 
 def _times(m: list[int], v: int) -> int:
@@ -310,18 +342,6 @@ def crc_join(a: int, b: int, n: int) -> int:
 def read(stored: DataFrame) -> DataFrame:
     """One row for each document of the blocks, read back: doc_id, start, n_tokens, ids_crc32."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            files, data = x.column("file").to_pylist(), x.column("data").to_pylist()
-            for lo in range(0, len(data), LANES):
-                rows: list[tuple] = []
-                for file, (ids, place, docs) in zip(files[lo : lo + LANES], read_blocks(data[lo : lo + LANES]), strict=True):
-                    at = 0
-                    for doc_id, serial, part, n in docs:
-                        rows.append((file, serial, doc_id, place + at, part, n, zlib.crc32(ids[at : at + n].tobytes())))
-                        at += n
-                yield frames.batch(PART, *zip(*rows, strict=True))
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ddl = "file int, doc_id long, start long, n_tokens long, ids_crc32 long"
         for x in batches:
@@ -333,7 +353,7 @@ def read(stored: DataFrame) -> DataFrame:
                 crcs.append(crc)
             yield frames.batch(ddl, x.column("file"), x.column("doc_id"), x.column("start"), x.column("n_tokens"), crcs)
 
-    parts = frames.stored(stored.select("file", "data").mapInArrow(each, PART), "token-parts")
+    parts = frames.stored(stored.select("file", F.inline(coder(stored.sparkSession, "Unpack", "data"))), "token-parts")
     sizes = parts.groupBy("file").agg(F.sum("n").alias("ids")).withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     docs = parts.groupBy("file", "doc").agg(F.max("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
     docs = docs.select("file", "doc_id", "start", "n_tokens", "parts").mapInArrow(whole, "file int, doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,35 @@ def test_blocks_round_trip_and_checksum():
         token_files.read_blocks([bytes(broken)])
 
 
+def test_blocks_of_spark_equal_those_of_numpy(spark):
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(map(str, rng.integers(0, 999, n)))) for i, n in enumerate([0, 1, 9000, 3, 5000, *rng.integers(5, 900, 60)])]
+    stored = token_files.write(spark.createDataFrame([(None, "no id"), *texts], "doc_id long, text string"))
+    data = [bytes(r.data) for r in stored.collect()]
+    groups = token_files.read_blocks(data)
+    assert len(data) > 10 and data == token_files.write_blocks(groups)
+    broken = bytearray(data[0])
+    broken[-20] ^= 1
+    for x in (bytes(broken), data[0][:-1], b"AMX"):
+        with pytest.raises(Exception, match="a block's checksum is wrong|not a block of token ids"):
+            token_files.read(spark.createDataFrame([(0, 0, x)], token_files.BLOCK))
+
+
+def test_blocks_are_read_fast(spark):
+    """Spark's way takes less than half the time of a numpy pass for each nibble, all else included."""
+    ids = np.random.default_rng(3).zipf(1.3, (24, token_files.BLOCK_IDS)).clip(0, 49407)
+    data = token_files.write_blocks([(x, k * len(x), [(k, k, 0, len(x))]) for k, x in enumerate(ids)])
+    stored = spark.createDataFrame([(0, k, x) for k, x in enumerate(data)], token_files.BLOCK).coalesce(1)
+    stored.count()
+    token_files.read(stored.limit(1)).count()
+    began = time.perf_counter()
+    rows = sorted(token_files.read(stored).collect())
+    middle = time.perf_counter()
+    assert all(np.array_equal(x, y) for x, (y, _, _) in zip(ids, token_files.read_blocks(data), strict=True))
+    assert middle - began < (time.perf_counter() - middle) / 2
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+
+
 def test_encoder_equals_library():
     alpha = list("abAB  \n\n'.,12éß  ́İσ日😀\t\x1c\x85|-_µ")
     texts = ["".join(RNG.choice(alpha) for _ in range(RNG.randrange(0, 50))) for _ in range(1500)]
