@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from . import tables_link
+from . import spark_forms, tables_link
 
 TABLES: dict[str, str | tuple[str, str]] = {
     # Links of pages: the anchor text is the title.
@@ -72,22 +72,26 @@ TABLES: dict[str, str | tuple[str, str]] = {
 }
 
 TABLES = tables_link.with_titles(TABLES)
+SPARK_TABLES = {n: x if isinstance(x, str) else x[0] for n, x in TABLES.items()} | spark_forms.TABLES
+ORACLE_TABLES = {n: x if isinstance(x, str) else x[1] for n, x in TABLES.items()}
 
 
 def sql(query: str, spark: bool) -> str:
     """A query with the model tables that it needs, for Spark or for the oracle."""
-    text = lambda x: x if isinstance(x, str) else x[0 if spark else 1]
+    tables = SPARK_TABLES if spark else ORACLE_TABLES
     needed: list[str] = []
 
     def visit(q: str) -> None:
-        for name in TABLES:
+        for name in tables:
             if name not in needed and re.search(rf"\b{name}\b", q) and re.search(rf"(FROM|JOIN)\s+\(*{name}\b", q):
-                visit(text(TABLES[name]))
+                visit(tables[name])
                 needed.append(name)
 
-    query = text(query)
+    if not isinstance(query, str):
+        query = query[0 if spark else 1]
+    query = spark_forms.same_row(query) if spark else query
     visit(query)
-    head = ", ".join(f"{n} AS ({text(TABLES[n])})" for n in needed)
+    head = ", ".join(f"{n} AS ({tables[n]})" for n in needed)
     if not needed:
         return query
     recursive = query.lstrip().upper().startswith("WITH RECURSIVE")

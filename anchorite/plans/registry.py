@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model, queries_code, queries_link, queries_sql
+from . import model, queries_code, queries_link, queries_sql, spark_forms
 
 INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings")
 
@@ -32,7 +32,7 @@ def _texts() -> dict[str, str | tuple[str, str]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     code = {name: partial(q, run_sql) for name, q in queries_code.QUERIES.items()}
-    return {name: _query(text) for name, text in _texts().items()} | code
+    return {name: _query(text) for name, text in (_texts() | spark_forms.QUERIES).items()} | code
 
 
 def oracles() -> dict[str, str]:
