@@ -12,7 +12,7 @@ from anchorite.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["C5_coherence"])
+@pytest.mark.parametrize("name", ["M11_local_contexts", "C5_coherence"])
 def test_contexts_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
