@@ -12,6 +12,13 @@ from anchorite.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
+def test_a_long_run_takes_no_stack(spark):
+    run = " ".join(["Ab"] * 4_000)
+    text = spark.createDataFrame([(f"- {run} end",)], "t string")
+    got = text.select(F.length(F.get(F.regexp_extract_all("t", F.lit(LONG_ENTITY), F.lit(1)), F.lit(0))).alias("n")).first().n
+    assert got == len(run)
+
+
 @pytest.mark.parametrize("name", ["M11_local_contexts", "C5_coherence"])
 def test_contexts_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
