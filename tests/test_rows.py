@@ -19,6 +19,18 @@ def test_a_long_run_takes_no_stack(spark):
     assert got == len(run)
 
 
+def test_a_long_chain_is_chosen_step_by_step():
+    n, began = 5_000, time.time()
+    got = choose({m: [0.9, 0.1] for m in range(n)}, [(m, c, m + 1, c, 0.2) for m in range(n - 1) for c in (0, 1)])
+    assert set(got.values()) == {0} and time.time() - began < 15
+
+
+@pytest.mark.parametrize("name", ["N14_joint_linking"])
+def test_python_gets_no_group_a_document(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("name", ["M11_local_contexts", "C5_coherence"])
 def test_contexts_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
