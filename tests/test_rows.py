@@ -25,7 +25,7 @@ def test_a_long_chain_is_chosen_step_by_step():
     assert set(got.values()) == {0} and time.time() - began < 15
 
 
-@pytest.mark.parametrize("name", ["N14_joint_linking"])
+@pytest.mark.parametrize("name", ["R10_overlap_resolution", "N14_joint_linking"])
 def test_python_gets_no_group_a_document(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan and "MapInArrow" in plan
