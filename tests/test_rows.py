@@ -35,3 +35,26 @@ def test_python_gets_no_group_a_document(spark, name):
 def test_contexts_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["K11_pairwise_similarity", "F16_link_relatedness", "L19_similarity_lookup"])
+def test_links_of_a_hub_are_not_joined_with_one_another(spark, name, tmp_path):
+    # A hub with n links each way has n * n paths of two links through it; no join may make them.
+    n = 1_500
+    rows = [(2 * k + s, page, s + 1, number) for k in range(n) for s, pages in enumerate(((k + 1, 0), (0, k + 1))) for number, page in enumerate(pages)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame = registry.queries()[name](spark, str(tmp_path))
+    assert frame.count() >= n
+    plan = frame._jdf.queryExecution()
+    frame.collect()
+    made, todo = [], [plan.executedPlan()]
+    while todo:
+        x = todo.pop()
+        if "AdaptiveSparkPlan" in x.nodeName():
+            x = x.executedPlan()
+        if x.nodeName().endswith("QueryStage"):
+            x = x.plan()
+        if "Join" in x.nodeName() and x.metrics().contains("numOutputRows"):
+            made.append(x.metrics().apply("numOutputRows").value())
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+    assert made and max(made) < 20 * n
