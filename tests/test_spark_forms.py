@@ -6,7 +6,7 @@ from anchorite.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: Queries that read each document once or twice and join it only with tables of surfaces.
-BY_ROW = ["E1_outcomes_at_k", "E2_scores_at_k", "E3_bag_of_concepts", "O10_error_report", "O9_training_lines", "M8_long_names", "O10_mistake_counts", "Q6_election", "Q8_exceptions", "Q7_heads", "M10_eligible", "A6_service_labels", "W1_ranker_samples", "M6_merged_spans"]
+BY_ROW = ["E1_outcomes_at_k", "E2_scores_at_k", "E3_bag_of_concepts", "O10_error_report", "O9_training_lines", "M8_long_names", "O10_mistake_counts", "Q6_election", "Q8_exceptions", "Q7_heads", "M10_eligible", "A6_service_labels", "W1_ranker_samples", "M6_merged_spans", "V1_vectors"]
 
 
 @pytest.mark.parametrize("name", BY_ROW)
