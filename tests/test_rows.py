@@ -58,3 +58,9 @@ def test_links_of_a_hub_are_not_joined_with_one_another(spark, name, tmp_path):
             made.append(x.metrics().apply("numOutputRows").value())
         todo += [x.children().apply(i) for i in range(x.children().size())]
     assert made and max(made) < 20 * n
+
+
+@pytest.mark.parametrize(("name", "scans"), [("F12_cosine", 2), ("L11_bm25", 4)])
+def test_documents_are_read_a_few_times(spark, name, scans):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") <= scans
