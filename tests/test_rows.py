@@ -64,3 +64,9 @@ def test_links_of_a_hub_are_not_joined_with_one_another(spark, name, tmp_path):
 def test_documents_are_read_a_few_times(spark, name, scans):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [doc_id") <= scans
+
+
+@pytest.mark.parametrize("name", ["X1_lexical"])
+def test_cosines_join_no_places(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x and "pos#" in x]
