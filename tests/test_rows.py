@@ -66,7 +66,7 @@ def test_documents_are_read_a_few_times(spark, name, scans):
     assert plan.count("Relation [doc_id") <= scans
 
 
-@pytest.mark.parametrize("name", ["X1_lexical"])
+@pytest.mark.parametrize("name", ["X1_lexical", "X2_reweighted"])
 def test_cosines_join_no_places(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x and "pos#" in x]
